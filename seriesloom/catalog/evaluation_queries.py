@@ -377,10 +377,10 @@ def density_grid(v):
                   round(edges[bin + 1], 6) AS hi, round(avg(p), 6) AS mean_pred,
                   round(avg(y), 6) AS mean_true, count(*) AS n
            FROM (SELECT o.horizon, o.baseline_last AS p, o.y_true AS y, q.edges,
-                        greatest(len(list_filter(q.edges, e -> e < o.baseline_last)), 1) AS bin
+                        greatest(len(list_filter(q.edges, lambda e: e < o.baseline_last)), 1) AS bin
                  FROM oof o JOIN (
                     SELECT horizon, list_transform([k / 12.0::DOUBLE FOR k IN range(13)],
-                        m -> sorted[CAST(floor(m * (n - 1)) AS BIGINT) + 1]
+                        lambda m: sorted[CAST(floor(m * (n - 1)) AS BIGINT) + 1]
                              + (sorted[CAST(least(floor(m * (n - 1)) + 1, n - 1) AS BIGINT) + 1]
                                 - sorted[CAST(floor(m * (n - 1)) AS BIGINT) + 1])
                              * (m * (n - 1) - floor(m * (n - 1)))) AS edges

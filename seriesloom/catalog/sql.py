@@ -15,6 +15,7 @@ CTES: dict[str, str] = {
     "seg": """
         SELECT c_mktsegment AS series_id, CAST(o_orderdate AS DATE) AS date,
                o_orderpriority AS priority, o_orderkey AS ingest_order,
+               o_totalprice AS total,
                o_totalprice / 997 AS quote
         FROM orders JOIN customer ON o_custkey = c_custkey""",
     "quotes": """
@@ -32,7 +33,7 @@ CTES: dict[str, str] = {
                max(CASE WHEN product = 'price_c' THEN quote END) AS price_c
         FROM first_quotes GROUP BY series_id, date""",
     "dense_quotes": """
-        SELECT series_id, date, round(avg(quote), 8) AS quote FROM seg GROUP BY series_id, date""",
+        SELECT series_id, date, round(avg(total), 5) / 997 AS quote FROM seg GROUP BY series_id, date""",
     "days": f"""
         SELECT CAST(unnest(generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 DAY)) AS DATE) AS date""",
     "price_days": """

@@ -60,6 +60,7 @@ class Views:
                 F.to_date("o_orderdate").alias("date"),
                 F.col("o_orderpriority").alias("priority"),
                 F.col("o_orderkey").alias("ingest_order"),
+                F.col("o_totalprice").alias("total"),
                 (F.col("o_totalprice") / UNIT).alias("quote"),
             )
         )
@@ -93,7 +94,7 @@ class Views:
     @cached_property
     def dense_quotes(self) -> DataFrame:
         return self.segment_orders.groupBy("series_id", "date").agg(
-            F.round(F.avg("quote"), 8).alias("quote")
+            (F.round(F.avg("total"), 5) / UNIT).alias("quote")
         )
 
     @cached_property

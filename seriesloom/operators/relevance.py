@@ -12,6 +12,7 @@ from seriesloom.operators.ordered import (
     ranked_values,
 )
 from seriesloom.settings import SIGNIFICANCE
+from seriesloom.sources.store import cut_lineage
 
 
 def column_medians(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -22,22 +23,19 @@ def column_medians(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def median_values(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """The medians as a dictionary: one number per column, whatever the number of rows."""
+    return {r["feature"]: r["median"] for r in column_medians(df, columns).collect()}
+
+
 def impute_medians(
     df: DataFrame, columns: list[str], fit_on: DataFrame | None = None
 ) -> DataFrame:
-    """Replace missing values by the median of `fit_on` (default: of the table itself).
-
-    The medians are one row with a map of at most one entry per column.
-    """
-    medians = column_medians(df if fit_on is None else fit_on, columns).agg(
-        F.map_from_entries(F.collect_list(F.struct("feature", "median"))).alias("_medians")
-    )
-    keyed = df.withColumn("_one", F.lit(1)).join(
-        F.broadcast(medians.withColumn("_one", F.lit(1))), "_one"
-    )
-    return keyed.select(
+    """Replace missing values by the median of `fit_on` (default: of the table itself)."""
+    medians = median_values(df if fit_on is None else fit_on, columns)
+    return df.select(
         *[
-            F.coalesce(c, F.element_at("_medians", F.lit(c))).alias(c) if c in columns else F.col(c)
+            F.coalesce(c, F.lit(medians[c])).alias(c) if c in medians else F.col(c)
             for c in df.columns
         ]
     )
@@ -52,29 +50,29 @@ def spearman(
 ) -> DataFrame:
     """Spearman correlation of every feature with the target, largest magnitude first.
 
-    Missing feature values take the feature's median. The target is ranked once on the wide
-    rows; the feature cells are ranked in long form, all features in one pass, and the
-    correlation is a plain aggregate. No feature is ever ordered in a single task.
+    Missing feature values take the feature's median. The rows are written once, because
+    ranking reads them several times. The target is ranked on the wide rows; the feature
+    cells are ranked in long form, all features in one pass, and the correlation is a plain
+    aggregate. No feature is ever ordered in a single task.
     """
-    valid = df.where(F.col(target).isNotNull()).select(*row_key, target, *features)
-    labelled = valid.withColumn("_target", F.lit(target))
-    target_ranks = ranked_values(labelled, ["_target"], target)
-    ranked_rows = attach_rank(
-        labelled, target_ranks, ["_target"], target, "target_rank", row_key
-    )
-    cells = ranked_rows.unpivot([*row_key, "target_rank"], features, "feature", "value")
-    filled = cells.join(F.broadcast(column_medians(valid, features)), "feature").select(
-        *row_key, "target_rank", "feature", F.coalesce("value", "median").alias("value")
+    valid = cut_lineage(
+        df.where(F.col(target).isNotNull()).select(
+            *row_key, F.lit(target).alias("_target"), target, *[F.col(f).cast("double") for f in features]
+        ),
+        "spearman",
     )
-    feature_ranks = ranked_values(
-        valid.unpivot(row_key, features, "feature", "value")
-        .join(F.broadcast(column_medians(valid, features)), "feature")
-        .select("feature", F.coalesce("value", "median").alias("value")),
+    filled = impute_medians(valid, features)
+    target_ranks = ranked_values(valid, ["_target"], target)
+    ranked_rows = attach_rank(filled, target_ranks, ["_target"], target, "target_rank", row_key)
+    cells = filled.unpivot(row_key, features, "feature", "value")
+    feature_ranks = ranked_values(cells, ["feature"], "value")
+    pairs = attach_rank(
+        ranked_rows.unpivot([*row_key, "target_rank"], features, "feature", "value"),
+        feature_ranks,
         ["feature"],
         "value",
-    )
-    pairs = attach_rank(
-        filled, feature_ranks, ["feature"], "value", "feature_rank", row_key
+        "feature_rank",
+        row_key,
     )
     rho = pairs.groupBy("feature").agg(
         F.corr("feature_rank", "target_rank").alias("rho"), F.count(F.lit(1)).alias("n")
