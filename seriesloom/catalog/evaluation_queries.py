@@ -370,20 +370,24 @@ def density_grid(v):
     return rounded(spread.density_grid(v.oof, ["horizon"], p="baseline_last"), log_n=9)
 
 
+_MARKS = [k * (1.0 / 12) for k in range(12)] + [1.0]
+_LOW = "sorted[CAST(floor(m * (n - 1)) AS BIGINT) + 1]"
+_HIGH = "sorted[CAST(least(floor(m * (n - 1)) + 1, n - 1) AS BIGINT) + 1]"
+_PART = "(m * (n - 1) - floor(m * (n - 1)))"
+_EDGE = f"""CASE WHEN {_PART} < 0.5 THEN {_LOW} + ({_HIGH} - {_LOW}) * {_PART}
+                 ELSE {_HIGH} - ({_HIGH} - {_LOW}) * (1 - {_PART}) END"""
+
+
 @query(
     "calibration_curve",
     with_ctes(
-        """SELECT horizon, CAST(bin AS INTEGER) AS bin, round(edges[bin], 6) AS lo,
+        f"""SELECT horizon, CAST(bin AS INTEGER) AS bin, round(edges[bin], 6) AS lo,
                   round(edges[bin + 1], 6) AS hi, round(avg(p), 6) AS mean_pred,
                   round(avg(y), 6) AS mean_true, count(*) AS n
            FROM (SELECT o.horizon, o.baseline_last AS p, o.y_true AS y, q.edges,
                         greatest(len(list_filter(q.edges, lambda e: e < o.baseline_last)), 1) AS bin
                  FROM oof o JOIN (
-                    SELECT horizon, list_transform([k / 12.0::DOUBLE FOR k IN range(13)],
-                        lambda m: sorted[CAST(floor(m * (n - 1)) AS BIGINT) + 1]
-                             + (sorted[CAST(least(floor(m * (n - 1)) + 1, n - 1) AS BIGINT) + 1]
-                                - sorted[CAST(floor(m * (n - 1)) AS BIGINT) + 1])
-                             * (m * (n - 1) - floor(m * (n - 1)))) AS edges
+                    SELECT horizon, list_transform({_MARKS}::DOUBLE[], lambda m: {_EDGE}) AS edges
                     FROM (SELECT horizon, list_sort(list(baseline_last)) AS sorted, count(*) AS n
                           FROM oof GROUP BY horizon) s) q ON q.horizon = o.horizon) t
            GROUP BY horizon, bin, edges"""

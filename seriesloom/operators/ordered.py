@@ -84,8 +84,11 @@ def quantiles_of_ranked(
             hit = (below <= position) & (position < below + tied)
             picks.append(F.max(F.when(hit, F.col(value))).alias(name))
         picks.append(F.max(place - low).alias(f"_part{i}"))
+        low_value, high_value, part = (F.col(f"_{x}{i}") for x in ("lo", "hi", "part"))
+        gap = high_value - low_value
+        # From the nearer end, so that a place next to a row gives that row's value.
         results.append(
-            F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_part{i}")
+            F.when(part < 0.5, low_value + gap * part).otherwise(high_value - gap * (1 - part))
         )
     return ranked.groupBy(*keys).agg(*picks).select(*keys, F.array(*results).alias("quantiles"))
 

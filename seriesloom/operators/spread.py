@@ -147,7 +147,7 @@ def calibration_curve(
     `bins + 1` edges, so the edge table is tiny and broadcast.
     """
     both = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
-    marks = [k / bins for k in range(bins + 1)]
+    marks = [k * (1.0 / bins) for k in range(bins)] + [1.0]
     edges = quantiles_of_ranked(ranked_values(both, keys, p), keys, p, marks).select(
         *keys, F.array_distinct("quantiles").alias("_edges")
     )
