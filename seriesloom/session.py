@@ -39,11 +39,11 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     local session may fall back to a temporary folder of this machine: on a cluster the
     executors would each write to their own disk.
     """
-    base = spark.conf.get(CHECKPOINT_KEY, None)
+    context = spark.sparkContext
+    base = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
     if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="seriesloom-")
-        spark.conf.set(CHECKPOINT_KEY, base)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="seriesloom-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
