@@ -156,24 +156,20 @@ def monthly_mean(v):
     return rounded(calendar.monthly_mean(v.sparse_prices, "price_b"), price_b=6)
 
 
-_LAGGED = {"head_count": 0, "weight": 0, "trade_value": 4, "trade_qty": 0, "price_index": 6, "rain_mm": 6}
+_LAGGED = ["head_count", "weight", "trade_value", "trade_qty", "price_index", "rain_mm"]
 
 
-def _lagged_sql(prefix=""):
-    return ", ".join(f"round({prefix}{c}, {d}) AS {c}" for c, d in _LAGGED.items())
-
-
-@query("publication_lag", with_ctes(f"SELECT date, {_lagged_sql('m.')} FROM macro m"))
+@query("publication_lag", with_ctes(f"SELECT date, {', '.join(_LAGGED)} FROM macro m"))
 def publication_lag(v):
     months, rain = v.sources["months"], v.sources["rain"]
     keyed = combine.join_sources([months.frame, rain.frame], ["date"]).withColumn("series_id", F.lit("all"))
-    daily = calendar.asof_daily(keyed, START, END, list(_LAGGED))
-    return rounded(calendar.publication_lag(daily, list(_LAGGED)).drop("series_id"), **_LAGGED)
+    daily = calendar.asof_daily(keyed, START, END, _LAGGED)
+    return calendar.publication_lag(daily, _LAGGED).drop("series_id")
 
 
 @query(
     "price_index",
-    with_ctes("SELECT month, round(pct, 9) AS pct, round(price_index, 6) AS price_index FROM idx"),
+    with_ctes("SELECT month, round(pct, 9) AS pct, price_index FROM idx"),
 )
 def price_index(v):
     return rounded(tidy.price_index(v.inflation_pct, BASE_MONTH), pct=9, price_index=6)
@@ -182,40 +178,26 @@ def price_index(v):
 @query(
     "deflate_prices",
     with_ctes(
-        """SELECT series_id, p.date AS date, price_index_r AS price_index,
-                  round(price_a / (price_index / 100), 6) AS price_a,
-                  round(price_b / (price_index / 100), 6) AS price_b,
+        """SELECT series_id, p.date AS date, price_index,
+                  price_a / (price_index / 100) AS price_a, price_b / (price_index / 100) AS price_b,
                   price_a AS price_a_nominal, price_b AS price_b_nominal
-           FROM prices p JOIN (SELECT date, price_index, round(price_index, 6) AS price_index_r
-                               FROM macro_now) m ON m.date = p.date"""
+           FROM prices p JOIN macro_now m ON m.date = p.date"""
     ),
 )
 def deflate_prices(v):
     months = v.sources["months"].frame.select(F.lit("").alias("series_id"), "date", "price_index")
     daily_index = calendar.asof_daily(months, START, END, ["price_index"]).drop("series_id")
     panel = combine.share_by_date(v.price_panel.drop("price_c"), daily_index)
-    return rounded(
-        tidy.deflate(panel, ["price_a", "price_b"]), price_a=6, price_b=6, price_index=6
-    )
+    return tidy.deflate(panel, ["price_a", "price_b"])
 
 
-_DATASET = {
-    "price_a": 6, "price_b": 6, "price_c": 6, **_LAGGED,
-}
 _NOMINAL = [f"{p}_nominal" for p in PRICE_COLUMNS]
+_DATASET = [*PRICE_COLUMNS, *_NOMINAL, *_LAGGED, "fx"]
 
 
-@query(
-    "build_dataset",
-    with_ctes(
-        "SELECT series_id, date, fx, "
-        + ", ".join(_NOMINAL) + ", "
-        + ", ".join(f"round({c}, {d}) AS {c}" for c, d in _DATASET.items())
-        + " FROM dataset"
-    ),
-)
+@query("build_dataset", with_ctes(f"SELECT series_id, date, {', '.join(_DATASET)} FROM dataset"))
 def dataset(v):
-    return rounded(v.dataset, **_DATASET)
+    return v.dataset
 
 
 @query(
@@ -368,44 +350,34 @@ def ratio_features(v):
 
 
 def _feature_decimals():
-    """Rounding of the feature table: large totals to four decimals, the rest to six."""
-    wide = {"trade_value": 4, "weight": 4, "trade_qty": 4, "head_count": 4}
-    out = {}
+    """Rolling statistics are rounded: engines add up a frame in different orders."""
+    out = {"month_sin": 6, "month_cos": 6}
     for c in FEATURE_COLUMNS:
-        d = wide.get(c, 6)
-        out.update({f"{c}_lag{k}d": d for k in LAG_DAYS})
-        out.update({f"{c}_ma{n}d": d for n in ROLLING_DAYS})
-        out.update({f"{c}_std{n}d": min(d, 4) for n in ROLLING_DAYS})
-        out.update({f"{c}_pct{k}d": 6 for k in CHANGE_DAYS})
-    out.update({"month_sin": 6, "month_cos": 6, "ratio_a_c": 6, "ratio_a_b": 6})
-    out.update({f"target_h{h}d": 6 for h in HORIZONS})
-    return {**_DATASET, **out}
+        digits = 4 if c == "trade_value" else 6
+        out.update({f"{c}_ma{n}d": digits for n in ROLLING_DAYS})
+        out.update({f"{c}_std{n}d": 4 for n in ROLLING_DAYS})
+    return out
 
 
 def _feature_sql():
     d = _feature_decimals()
-    parts = ["series_id", "date", *_NOMINAL, "fx"]
-    parts += [f"round({c}, {d[c]}) AS {c}" for c in _DATASET]
+    parts = ["series_id", "date", *_DATASET]
     for c in FEATURE_COLUMNS:
-        parts += [f"round(lag({c}, {k}) OVER w, {d[f'{c}_lag{k}d']}) AS {c}_lag{k}d" for k in LAG_DAYS]
+        parts += [f"lag({c}, {k}) OVER w AS {c}_lag{k}d" for k in LAG_DAYS]
         for n in ROLLING_DAYS:
             frame = f"OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
             parts.append(f"round(avg({c}) {frame}, {d[f'{c}_ma{n}d']}) AS {c}_ma{n}d")
             parts.append(f"round(stddev_samp({c}) {frame}, {d[f'{c}_std{n}d']}) AS {c}_std{n}d")
-        parts += [
-            f"round({c}_p / nullif(lag({c}_p, {k}) OVER w, 0) - 1, 6) AS {c}_pct{k}d"
-            for k in CHANGE_DAYS
-        ]
+        parts += [f"{c}_p / nullif(lag({c}_p, {k}) OVER w, 0) - 1 AS {c}_pct{k}d" for k in CHANGE_DAYS]
     parts += [
         "CAST(month(date) AS INTEGER) AS month", "CAST(quarter(date) AS INTEGER) AS quarter",
         "CAST(isodow(date) - 1 AS INTEGER) AS weekday",
         "CAST(dayofyear(date) AS INTEGER) AS day_of_year",
         "round(sin(2 * pi() * month(date) / 12), 6) AS month_sin",
         "round(cos(2 * pi() * month(date) / 12), 6) AS month_cos",
-        "round(price_a / nullif(price_c, 0), 6) AS ratio_a_c",
-        "round(price_a / nullif(price_b, 0), 6) AS ratio_a_b",
+        "price_a / nullif(price_c, 0) AS ratio_a_c", "price_a / nullif(price_b, 0) AS ratio_a_b",
     ]
-    parts += [f"round(lead(price_a, {h}) OVER w, 6) AS target_h{h}d" for h in HORIZONS]
+    parts += [f"lead(price_a, {h}) OVER w AS target_h{h}d" for h in HORIZONS]
     fills = ", ".join(
         f"last_value({c} IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}_p"
         for c in FEATURE_COLUMNS

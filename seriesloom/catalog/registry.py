@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from seriesloom.catalog.views import Views
 
@@ -27,6 +26,6 @@ def query(name: str, sql: str | None = None):
 
 def rounded(df: DataFrame, **decimals: int) -> DataFrame:
     """Round columns whose last digits depend on the order of a floating-point sum."""
-    return df.select(
-        *[F.round(c, decimals[c]).alias(c) if c in decimals else F.col(c) for c in df.columns]
+    return df.selectExpr(
+        *[f"round(`{c}`, {decimals[c]}) AS `{c}`" if c in decimals else f"`{c}`" for c in df.columns]
     )

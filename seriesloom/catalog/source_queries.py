@@ -222,7 +222,7 @@ def scan_inflation_json(v):
     return rounded(payloads.parse_inflation(responses), pct=9)
 
 
-@query("grid_monthly_mean", with_ctes("SELECT time, round(rain_mm, 6) AS rain_mm FROM rain"))
+@query("grid_monthly_mean", with_ctes("SELECT time, round(avg(tp) * 1000, 6) AS rain_mm FROM grid GROUP BY time"))
 def grid_monthly_mean(v):
     return rounded(grid.grid_mean(v.precip_grid), rain_mm=6)
 
@@ -263,7 +263,7 @@ DISPLAY = {
     with_ctes(
         """SELECT series_id, p.date AS date, p.price_a AS "Price A (per unit)",
                   p.price_b AS "Price B (per head)", p.price_c AS "Price C (per sack)",
-                  round(m.price_index, 6) AS "Price index"
+                  m.price_index AS "Price index"
            FROM prices p LEFT JOIN macro_now m ON m.date = p.date"""
     ),
 )
@@ -273,7 +273,7 @@ def inspection(v):
         months.withColumn("series_id", F.lit("")), START, END, ["price_index"]
     ).drop("series_id")
     return inspection_table(
-        v.price_panel, F.broadcast(rounded(daily_index, price_index=6)), DISPLAY, ["date"]
+        v.price_panel, F.broadcast(daily_index), DISPLAY, ["date"]
     )
 
 

@@ -70,7 +70,7 @@ CTES: dict[str, str] = {
     "line_months": """
         SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month,
                CAST(count(*) AS DOUBLE) AS head_count, sum(l_quantity) AS weight,
-               sum(l_extendedprice) / 997 AS trade_value, sum(l_quantity) AS trade_qty,
+               round(sum(l_extendedprice), 2) / 997 AS trade_value, sum(l_quantity) AS trade_qty,
                100 * (avg(l_discount) - 0.045) AS pct
         FROM lineitem GROUP BY 1""",
     "trade": """
@@ -82,14 +82,15 @@ CTES: dict[str, str] = {
         FROM line_months""",
     "idx": f"""
         SELECT month, pct,
-               c / (SELECT b.c FROM chain b WHERE b.month = DATE '{BASE_MONTH}') * 100 AS price_index
+               round(c / (SELECT b.c FROM chain b WHERE b.month = DATE '{BASE_MONTH}') * 100, 6)
+                   AS price_index
         FROM chain""",
     "grid": """
         SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS time,
                CAST(s_nationkey // 5 AS INTEGER) AS latitude,
                CAST(s_nationkey % 5 AS INTEGER) AS longitude, avg(l_tax) AS tp
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, s_nationkey""",
-    "rain": "SELECT time, avg(tp) * 1000 AS rain_mm FROM grid GROUP BY time",
+    "rain": "SELECT time, round(avg(tp) * 1000, 8) * (1000 / 997) AS rain_mm FROM grid GROUP BY time",
     "fx_long": """
         SELECT CAST(o_orderdate AS DATE) AS date, o_orderkey AS ord, o_totalprice / 997 AS fx
         FROM orders WHERE o_orderstatus = 'F'""",

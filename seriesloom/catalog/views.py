@@ -32,6 +32,16 @@ CUTOFF = "2001-03-31"
 # between two rounded values, where engines with another summing order would differ.
 UNIT = 997
 
+# Columns and types of the given tables that the views read: no file is opened to infer them.
+SCHEMAS = {
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey long, c_mktsegment string",
+    "supplier": "s_suppkey long, s_nationkey int",
+    "lineitem": "l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, "
+    "l_tax double, l_returnflag string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, event_type string, value double",
+}
 PRODUCTS = {"1-URGENT": "price_a", "2-HIGH": "price_b", "3-MEDIUM": "price_c"}
 HEAD_LABEL = "Animais abatidos (cabeças)"
 WEIGHT_LABEL = "Peso total das carcaças"
@@ -45,7 +55,7 @@ class Views:
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
     @cached_property
     def segment_orders(self) -> DataFrame:
@@ -117,7 +127,7 @@ class Views:
         ).agg(
             F.count(F.lit(1)).cast("double").alias("head_count"),
             F.sum("l_quantity").alias("weight"),
-            (F.sum("l_extendedprice") / UNIT).alias("trade_value"),
+            (F.round(F.sum("l_extendedprice"), 2) / UNIT).alias("trade_value"),
             F.sum("l_quantity").alias("trade_qty"),
             (F.lit(100) * (F.avg("l_discount") - 0.045)).alias("pct"),
         )
@@ -172,7 +182,7 @@ class Views:
     def fx_bulletins(self) -> DataFrame:
         """Time-stamped bulletins of one month; low values stand for a missing rate."""
         return self.table("events").where(F.col("event_type") == "purchase").select(
-            F.col("ts").cast("timestamp_ntz").alias("ts"),
+            "ts",
             F.col("event_id").alias("ord"),
             F.when(F.col("value") >= 10, F.col("value")).alias("fx"),
         )
@@ -181,7 +191,7 @@ class Views:
     def headlines(self) -> DataFrame:
         return self.table("events").where(F.col("event_type") == "error").select(
             F.lit("all").alias("series_id"),
-            F.col("ts").cast("timestamp_ntz").alias("ts"),
+            "ts",
             ((F.col("value") - 120) / 490).alias("score"),
         )
 
@@ -189,9 +199,11 @@ class Views:
     def sources(self) -> dict[str, Source]:
         months = price_index(
             self.line_months, BASE_MONTH, keep=["head_count", "weight", "trade_value", "trade_qty"]
-        ).withColumnRenamed("month", "date")
+        ).select("*", F.col("month").alias("date")).drop("month")
+        # Indices and means are published with a fixed number of digits.
+        months = months.withColumn("price_index", F.round("price_index", 6))
         rain = self.precip_grid.groupBy(F.col("time").alias("date")).agg(
-            (F.avg("tp") * METRES_TO_MM).alias("rain_mm")
+            (F.round(F.avg("tp") * METRES_TO_MM, 8) * (1000 / UNIT)).alias("rain_mm")
         )
         fx = last_known_per_key(self.fx_long, ["date"], "fx", ["ord"])
         monthly = ("head_count", "weight", "trade_value", "trade_qty", "price_index")

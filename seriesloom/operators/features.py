@@ -7,11 +7,11 @@ is built with one `select`, never with a chain of `withColumn`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.dates import calendar_parts
-from seriesloom.functions.numbers import safe_ratio, zero_to_null
+from seriesloom.functions.numbers import zero_to_null
 from seriesloom.operators.calendar import forward_fill
 from seriesloom.settings import (
     BASELINE_DAYS,
@@ -27,32 +27,36 @@ RATIOS = {"ratio_a_c": ("price_a", "price_c"), "ratio_a_b": ("price_a", "price_b
 PADDED = "_padded_"
 
 
-def _by_date(series: str, date: str):
-    return Window.partitionBy(series).orderBy(date)
+def _over(series: str, date: str, days: int | None = None) -> str:
+    """Window clause of one series by date, over the trailing `days` rows when given.
 
-
-def _trailing(days: int, series: str, date: str):
-    return _by_date(series, date).rowsBetween(-(days - 1), Window.currentRow)
+    Window features are written as SQL expressions: a feature table has well over a hundred,
+    and each is then one call to the driver's JVM instead of a dozen.
+    """
+    frame = f" ROWS BETWEEN {days - 1} PRECEDING AND CURRENT ROW" if days else ""
+    return f"OVER (PARTITION BY `{series}` ORDER BY `{date}`{frame})"
 
 
 def lag_columns(
     columns: list[str], lags=LAG_DAYS, series: str = "series_id", date: str = "date"
 ) -> dict[str, Column]:
-    order = _by_date(series, date)
-    return {f"{c}_lag{k}d": F.lag(c, k).over(order) for c in columns for k in lags}
+    over = _over(series, date)
+    return {f"{c}_lag{k}d": F.expr(f"lag(`{c}`, {k}) {over}") for c in columns for k in lags}
 
 
 def mean_columns(
     columns: list[str], days=ROLLING_DAYS, series: str = "series_id", date: str = "date"
 ) -> dict[str, Column]:
-    return {f"{c}_ma{n}d": F.avg(c).over(_trailing(n, series, date)) for c in columns for n in days}
+    return {
+        f"{c}_ma{n}d": F.expr(f"avg(`{c}`) {_over(series, date, n)}") for c in columns for n in days
+    }
 
 
 def deviation_columns(
     columns: list[str], days=ROLLING_DAYS, series: str = "series_id", date: str = "date"
 ) -> dict[str, Column]:
     return {
-        f"{c}_std{n}d": F.stddev_samp(c).over(_trailing(n, series, date))
+        f"{c}_std{n}d": F.expr(f"stddev_samp(`{c}`) {_over(series, date, n)}")
         for c in columns
         for n in days
     }
@@ -62,9 +66,9 @@ def change_columns(
     columns: list[str], steps=CHANGE_DAYS, series: str = "series_id", date: str = "date"
 ) -> dict[str, Column]:
     """Relative change of gap-padded values; needs the columns of `padded`."""
-    order = _by_date(series, date)
+    over = _over(series, date)
     return {
-        f"{c}_pct{k}d": safe_ratio(F.col(PADDED + c), F.lag(PADDED + c, k).over(order)) - 1
+        f"{c}_pct{k}d": F.expr(f"try_divide(`{PADDED}{c}`, lag(`{PADDED}{c}`, {k}) {over}) - 1")
         for c in columns
         for k in steps
     }
@@ -89,8 +93,8 @@ def ratio_columns(available: list[str], ratios=None) -> dict[str, Column]:
 def target_columns(
     price: str = TARGET_PRICE, horizons=HORIZONS, series: str = "series_id", date: str = "date"
 ) -> dict[str, Column]:
-    order = _by_date(series, date)
-    return {f"target_h{h}d": F.lead(price, h).over(order) for h in horizons}
+    over = _over(series, date)
+    return {f"target_h{h}d": F.expr(f"lead(`{price}`, {h}) {over}") for h in horizons}
 
 
 def baseline_columns(
@@ -98,7 +102,7 @@ def baseline_columns(
 ) -> dict[str, Column]:
     return {
         "baseline_last": F.col(price),
-        f"baseline_ma{days}": F.avg(price).over(_trailing(days, series, date)),
+        f"baseline_ma{days}": F.expr(f"avg(`{price}`) {_over(series, date, days)}"),
     }
 
 

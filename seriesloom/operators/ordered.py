@@ -29,8 +29,8 @@ def ranked_values(
 
     The number of keys is small (columns, horizons, models) while a key may hold any number
     of rows. The two helper tables have at most `ranges` rows per key, which bounds the
-    broadcasts. All three readers of the counted table use all its columns, so Spark reuses
-    its shuffle.
+    broadcasts. Readers of one shuffled table use the same columns of it, so Spark reuses the
+    shuffle.
     """
     counted = (
         df.where(F.col(value).isNotNull())
@@ -38,19 +38,28 @@ def ranked_values(
         .agg(F.count(F.lit(1)).alias("n_tied"))
     )
     step = max(1, int(ranges**0.5))
-    marks = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
+    marks = ", ".join(f"{k / ranges!r}D" for k in range(1, ranges))
     edges = counted.groupBy(*keys).agg(
-        F.percentile_approx(value, marks, F.lit(8 * ranges)).alias("_edges"),
+        F.expr(f"percentile_approx(`{value}`, array({marks}), {8 * ranges})").alias("_edges"),
         F.sum("n_tied").alias("n_total"),
     ).withColumn("_coarse", F.filter("_edges", lambda edge, i: i % step == step - 1))
-    placed = counted.join(F.broadcast(edges), keys).select(
-        *keys, value, "n_tied", "n_total",
-        _range_number(F.col(value), step).alias("_range"),
+    placed = (
+        counted.join(F.broadcast(edges), keys)
+        .select(
+            *keys, value, "n_tied", "n_total",
+            F.coalesce(_range_number(F.col(value), step), F.lit(0)).alias("_range"),
+        )
+        .repartition(*keys, "_range")
     )
     lower = (
         Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = placed.groupBy(*keys, "_range").agg(F.sum("n_tied").alias("_in_range")).select(
+    # The unused maxima keep all columns in this branch, so that both branches read the one
+    # shuffle of `placed` instead of computing and shuffling the ranges twice.
+    sizes = placed.groupBy(*keys, "_range").agg(
+        F.sum("n_tied").alias("_in_range"), F.max(value).alias("_top"), F.max("n_total").alias("_all")
+    )
+    offsets = sizes.where("_top is not null and _all > 0").select(
         *keys, "_range", F.coalesce(F.sum("_in_range").over(lower), F.lit(0)).alias("_offset")
     )
     inside = (

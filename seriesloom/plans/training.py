@@ -323,14 +323,19 @@ def isotonic_calibration(
 ) -> DataFrame:
     """Recalibrated predictions `y_cal` per group, clipped outside the fitted range.
 
-    `groups` lists the few (horizon, model) combinations; each is one isotonic fit.
+    `groups` lists the few (horizon, model) combinations; each is one isotonic fit. Equal
+    predictions are averaged and weighted before the fit, which leaves the solution as it is
+    and lets the map side shrink the input.
     """
     parts = []
     for group in groups:
         rows = oof.where(reduce(lambda a, b: a & b, [F.col(k) == v for k, v in group.items()]))
         known = rows.where(F.col(prediction).isNotNull() & F.col(label).isNotNull())
+        points = known.groupBy(prediction).agg(
+            F.avg(label).alias(label), F.count(F.lit(1)).cast("double").alias("weight")
+        )
         fitted = IsotonicRegression(
-            featuresCol=prediction, labelCol=label, predictionCol="y_cal"
-        ).fit(known)
+            featuresCol=prediction, labelCol=label, weightCol="weight", predictionCol="y_cal"
+        ).fit(points)
         parts.append(fitted.transform(known))
     return reduce(DataFrame.unionByName, parts)

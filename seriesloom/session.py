@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 # Settings that fit both a laptop and a cluster. Partition counts are left to adaptive
-# execution: it starts from `initialPartitionNum` and merges small shuffle blocks.
+# execution, which merges small shuffle blocks.
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -21,13 +21,21 @@ SESSION_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# On a cluster shuffles start from many partitions, so that a stage over terabytes gets blocks
+# an executor can sort in memory; adaptive execution merges them where the data is small.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+}
+
 
 def build_session(master: str | None = None, app: str = "seriesloom", **conf: str) -> SparkSession:
     """Start (or reuse) a session with the defaults above; `conf` overrides them."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SESSION_CONF, **conf}.items():
+    local = master is not None and master.startswith("local")
+    for key, value in {**SESSION_CONF, **({} if local else CLUSTER_CONF), **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
