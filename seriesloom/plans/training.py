@@ -120,8 +120,9 @@ def walk_forward_oof(
     embargo_days: int = 0,
     leaky: bool = False,
     keys: tuple[str, ...] = ("series_id", "date"),
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Out-of-fold predictions `(keys, fold, y_true, pred_*)` of expanding-window folds.
+    """Out-of-fold predictions `(keys, fold, y_true, carry, pred_*)` of expanding-window folds.
 
     Medians come from the training rows of each fold; `leaky` takes them from all rows.
     Both families predict in one pass over the test rows, without a join.
@@ -141,6 +142,7 @@ def walk_forward_oof(
                 *keys,
                 F.lit(cut["fold"]).alias("fold"),
                 F.col("label").alias("y_true"),
+                *carry,
                 *[f"pred_{k}" for k in kinds],
             )
         )
