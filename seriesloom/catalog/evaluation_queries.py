@@ -442,12 +442,12 @@ _QQ = f"""(SELECT horizon, place, ordered,
 @query(
     "qq_points",
     with_ctes(
-        f"SELECT horizon, place, round(theoretical, 6) AS theoretical, round(ordered, 6) AS ordered FROM {_QQ} q"
+        f"SELECT horizon, place, round(theoretical, 6) AS theoretical, ordered FROM {_QQ} q"
     ),
 )
 def qq_points(v):
     rows = spread.residuals(v.oof, p="baseline_last")
-    return rounded(spread.qq_points(rows, ["horizon"]), theoretical=6, ordered=6)
+    return rounded(spread.qq_points(rows, ["horizon"]), theoretical=6)
 
 
 @query(

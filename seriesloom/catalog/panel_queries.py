@@ -268,7 +268,7 @@ def valid_target_rows(v):
 
 def _rolling_sql(function, suffix):
     return ", ".join(
-        f"round({function}(price_a) OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 6)"
+        f"round({function}(price_a) OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 5)"
         f" AS price_a_{suffix}{n}d"
         for n in ROLLING_DAYS
     )
@@ -278,7 +278,7 @@ def _rolling_sql(function, suffix):
 def rolling_mean(v):
     columns = features.mean_columns(["price_a"])
     out = features.with_columns(v.daily_price, columns, keep=["series_id", "date"])
-    return rounded(out, **{c: 6 for c in columns})
+    return rounded(out, **{c: 5 for c in columns})
 
 
 @query(
@@ -288,7 +288,7 @@ def rolling_mean(v):
 def rolling_std(v):
     columns = features.deviation_columns(["price_a"])
     out = features.with_columns(v.daily_price, columns, keep=["series_id", "date"])
-    return rounded(out, **{c: 6 for c in columns})
+    return rounded(out, **{c: 5 for c in columns})
 
 
 @query(
@@ -353,7 +353,7 @@ def _feature_decimals():
     """Rolling statistics are rounded: engines add up a frame in different orders."""
     out = {"month_sin": 6, "month_cos": 6}
     for c in FEATURE_COLUMNS:
-        digits = 4 if c == "trade_value" else 6
+        digits = 4 if c == "trade_value" else 5
         out.update({f"{c}_ma{n}d": digits for n in ROLLING_DAYS})
         out.update({f"{c}_std{n}d": 4 for n in ROLLING_DAYS})
     return out

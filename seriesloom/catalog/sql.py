@@ -15,8 +15,8 @@ CTES: dict[str, str] = {
     "seg": """
         SELECT c_mktsegment AS series_id, CAST(o_orderdate AS DATE) AS date,
                o_orderpriority AS priority, o_orderkey AS ingest_order,
-               o_totalprice AS total,
-               o_totalprice / 997 AS quote
+               CAST(round(o_totalprice * 100) AS BIGINT) AS cents,
+               o_totalprice / 997.3021837::DOUBLE AS quote
         FROM orders JOIN customer ON o_custkey = c_custkey""",
     "quotes": """
         SELECT series_id, date, ingest_order, quote,
@@ -33,7 +33,8 @@ CTES: dict[str, str] = {
                max(CASE WHEN product = 'price_c' THEN quote END) AS price_c
         FROM first_quotes GROUP BY series_id, date""",
     "dense_quotes": """
-        SELECT series_id, date, round(avg(total), 5) / 997 AS quote FROM seg GROUP BY series_id, date""",
+        SELECT series_id, date, sum(cents)::DOUBLE / count(*) / 100 / 997.3021837::DOUBLE AS quote
+        FROM seg GROUP BY series_id, date""",
     "days": f"""
         SELECT CAST(unnest(generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 DAY)) AS DATE) AS date""",
     "price_days": """
@@ -70,7 +71,7 @@ CTES: dict[str, str] = {
     "line_months": """
         SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month,
                CAST(count(*) AS DOUBLE) AS head_count, sum(l_quantity) AS weight,
-               round(sum(l_extendedprice), 2) / 997 AS trade_value, sum(l_quantity) AS trade_qty,
+               round(sum(l_extendedprice), 2) / 997.3021837::DOUBLE AS trade_value, sum(l_quantity) AS trade_qty,
                100 * (avg(l_discount) - 0.045) AS pct
         FROM lineitem GROUP BY 1""",
     "trade": """
@@ -90,9 +91,9 @@ CTES: dict[str, str] = {
                CAST(s_nationkey // 5 AS INTEGER) AS latitude,
                CAST(s_nationkey % 5 AS INTEGER) AS longitude, avg(l_tax) AS tp
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, s_nationkey""",
-    "rain": "SELECT time, round(avg(tp) * 1000, 8) * (1000 / 997) AS rain_mm FROM grid GROUP BY time",
+    "rain": "SELECT time, round(avg(tp) * 1000, 8) * (1000 / 997.3021837::DOUBLE) AS rain_mm FROM grid GROUP BY time",
     "fx_long": """
-        SELECT CAST(o_orderdate AS DATE) AS date, o_orderkey AS ord, o_totalprice / 997 AS fx
+        SELECT CAST(o_orderdate AS DATE) AS date, o_orderkey AS ord, o_totalprice / 997.3021837::DOUBLE AS fx
         FROM orders WHERE o_orderstatus = 'F'""",
     "fx_day": """
         SELECT date, arg_max(fx, ord) FILTER (WHERE fx IS NOT NULL) AS fx

@@ -18,7 +18,7 @@ def settings(tmp_path_factory):
         cutoff=str(day(209)),
         horizons=(1, 7),
         min_train=120,
-        n_folds=2,
+        n_folds=1,
         candidates={
             BOOSTED: [{"maxIter": 1, "maxDepth": 2}],
             FOREST: [{"numTrees": 2, "maxDepth": 2}],
