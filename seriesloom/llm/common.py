@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from seriesloom.sources.store import cut_lineage
 
-#: The white space of the word rule, as characters and as a pattern.
+#: The white space of the word rule.
 SPACES = " \t\n\x0b\x0c\r"
-SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,12 +19,18 @@ def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
+def spaced(text: Column) -> Column:
+    """The text with every white-space character as a plain space; null as the empty text."""
+    out = F.coalesce(text, F.lit(""))
+    for c in SPACES[1:]:
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return out
+
+
 def words(text: Column) -> Column:
-    """Words of a text; null and blank texts have none."""
-    inner = trimmed(text)
-    return F.when(F.length(inner) > 0, F.split(inner, SPACE_RUN)).otherwise(
-        F.array().cast("array<string>")
-    )
+    """Words of a text; null and blank texts have none. Splitting at one plain character is
+    several times faster than at a pattern."""
+    return F.array_remove(F.split(spaced(text), " "), "")
 
 
 def word_count(text: Column) -> Column:

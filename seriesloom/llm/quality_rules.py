@@ -14,13 +14,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import SPACES, trimmed, words
+from seriesloom.llm.common import trimmed, words
 
 #: Fixed value: the symbols that n_symbols counts.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SAMPLE_ROWS = 400
+#: Up to so many repeated windows are looked up one by one; more are found by a sort.
+FEW = 64
 
 
 @dataclass(frozen=True)
@@ -29,48 +31,43 @@ class Rule:
     fails: Column
 
 
-def _without(text: Column, characters: str) -> Column:
-    out = text
-    for c in characters:
-        out = F.replace(out, F.lit(c), F.lit(""))
-    return out
-
-
 def _bind(value: Column, use) -> Column:
     """Evaluate `value` once and hand it to `use` (a lambda variable is not recomputed)."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def repeated_words(ws: Column) -> Column:
-    """Words inside 3-word windows that occur at least twice, the first one included."""
+def _window_hashes(ws: Column) -> Column:
     n = F.size(ws)
     windows = F.arrays_zip(
         F.slice(ws, 1, n - 2).alias("a"), F.slice(ws, 2, n - 2).alias("b"), F.slice(ws, 3, n - 2).alias("c")
     )
+    return F.when(n > 3, F.transform(windows, lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<long>"))
 
-    def covered(starts: Column) -> Column:
-        # A window adds three words less what it shares with the next one.
-        shared = F.transform(
-            starts, lambda p, i: F.greatest(F.lit(0), F.coalesce(p + 3 - F.get(starts, i + 1), F.lit(0)))
-        )
-        return (3 * F.size(starts) - F.aggregate(shared, F.lit(0), lambda a, x: a + x)).cast("long")
 
-    def starts_of(ordered: Column) -> Column:
-        twice = F.filter(
+def _covered(starts: Column) -> Column:
+    """Words under windows at these ordered starts: three each, less what two share."""
+    shared = F.transform(
+        starts, lambda p, i: F.greatest(F.lit(0), F.coalesce(p + 3 - F.get(starts, i + 1), F.lit(0)))
+    )
+    return (3 * F.size(starts) - F.aggregate(shared, F.lit(0), lambda a, x: a + x)).cast("long")
+
+
+def _repeated_starts(hashes: Column, twice: Column) -> Column:
+    """Starts of the windows whose hash is in `twice`, in order."""
+    looked_up = F.array_compact(
+        F.transform(hashes, lambda h, i: F.when(F.array_contains(twice, h), i))
+    )
+
+    def neighbours(ordered: Column) -> Column:
+        again = F.filter(
             ordered,
             lambda x, i: F.coalesce(x["h"] == F.get(ordered, i - 1)["h"], F.lit(False))
             | F.coalesce(x["h"] == F.get(ordered, i + 1)["h"], F.lit(False)),
         )
-        return F.sort_array(F.transform(twice, lambda x: x["p"]))
-
-    def count(hashes: Column) -> Column:
-        pairs = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p")))
-        found = _bind(_bind(F.sort_array(pairs), starts_of), covered)
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(found)
+        return F.sort_array(F.transform(again, lambda x: x["p"]))
 
-    return F.when(n < 4, F.lit(0).cast("long")).otherwise(
-        _bind(F.transform(windows, lambda w: F.xxhash64(w)), count)
-    )
+    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+    return F.when(F.size(twice) <= FEW, looked_up).otherwise(_bind(pairs, neighbours))
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -80,16 +77,29 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(trimmed(x)) > 0)
-    ws = words(body)
-    return docs.withColumns(
+    measured = docs.withColumns(
         {
-            "n_words": F.size(ws).cast("long"),
-            "word_chars": F.length(_without(body, SPACES)).cast("long"),
-            "n_symbols": (F.length(body) - F.length(_without(body, SYMBOLS))).cast("long"),
+            "_words": words(body),
+            "n_symbols": F.regexp_count(body, F.lit(f"[{SYMBOLS}]")).cast("long"),
             "n_dup_lines": _bind(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-            "n_repeat_words": _bind(ws, repeated_words),
         }
     )
+    # One projection after the other: each array is made once, in generated code.
+    measured = measured.withColumns(
+        {
+            "n_words": F.size("_words").cast("long"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "_hashes": _window_hashes(F.col("_words")),
+        }
+    ).withColumn("_ordered", F.sort_array("_hashes"))
+    twice = F.filter("_ordered", lambda h, i: F.coalesce(h == F.get(F.col("_ordered"), i - 1), F.lit(False)))
+    repeats = _bind(
+        twice,
+        lambda t: F.when(F.size(t) == 0, F.lit(0).cast("long")).otherwise(
+            _bind(_repeated_starts(F.col("_hashes"), t), _covered)
+        ),
+    )
+    return measured.withColumn("n_repeat_words", repeats).drop("_words", "_hashes", "_ordered")
 
 
 def base_failed() -> Column:
@@ -104,9 +114,9 @@ def default_rules(text: str = "text") -> list[Rule]:
     return [
         Rule("short_words", F.col("word_chars") < 2 * n),
         Rule("long_words", F.col("word_chars") > 15 * n),
-        Rule("symbols", 100 * F.col("n_symbols") > 40 * n),
+        Rule("symbols", 100 * F.col("n_symbols") > 10 * n),
         Rule("repeated_lines", 2 * F.col("n_dup_lines") > F.size(F.split(body, "\n"))),
-        Rule("digits", 10 * F.length(F.regexp_replace(body, "[^0-9]", "")) > 3 * F.col("word_chars")),
+        Rule("digits", 10 * F.regexp_count(body, F.lit("[0-9]")) > 3 * F.col("word_chars")),
         Rule("ellipses", 10 * F.regexp_count(body, F.lit(r"\.\.\.")) > 3 * n),
     ]
 
