@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import language_id, line_dedup, packing, quality_rules, source_mix, url_filters
+from seriesloom.llm import (
+    language_id,
+    line_dedup,
+    packing,
+    quality_rules,
+    source_mix,
+    top_products,
+    toxicity,
+    url_filters,
+)
 from seriesloom.llm.common import crc_mod, same, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +57,11 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
 
 
+@query("op5_top_products")
+def op5_top_products(spark: SparkSession, folder: str) -> DataFrame:
+    return top_products.top_products(table(spark, folder, "embeddings"), lambda key: key % 50 == 0)
+
+
 @query("op6_url_rules")
 def op6_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     # A page's label is that of the document with its id: toxic or low quality means block.
@@ -63,6 +77,16 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    model = toxicity.learn(
+        docs.where(~held_out), table(spark, folder, "labels"), (crc_mod(F.col("doc_id"), 5) != 1).cast("int")
+    )
+    return toxicity.score(docs.withColumn("held_out", held_out), model)
+
+
 @query("op9_quality_cascade")
 def op9_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
