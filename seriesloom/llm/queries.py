@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seriesloom.llm import (
     language_id,
     line_dedup,
+    minhash_join,
     packing,
     quality_rules,
     source_mix,
@@ -49,6 +50,11 @@ def op1_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op3_minhash_join")
+def op3_minhash_join(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash_join.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op4_language_id")
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
