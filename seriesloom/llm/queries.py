@@ -13,6 +13,7 @@ from seriesloom.llm import (
     minhash_join,
     packing,
     quality_rules,
+    repeat_index,
     source_mix,
     top_products,
     toxicity,
@@ -50,6 +51,12 @@ def op1_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op2_repeat_index")
+def op2_repeat_index(spark: SparkSession, folder: str) -> DataFrame:
+    kept = repeat_index.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 @query("op3_minhash_join")
 def op3_minhash_join(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
