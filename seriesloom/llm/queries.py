@@ -20,6 +20,7 @@ from seriesloom.llm import (
     url_filters,
 )
 from seriesloom.llm.common import crc_mod, same, table, written
+from seriesloom.llm.sql import SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 

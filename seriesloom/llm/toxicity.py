@@ -200,3 +200,17 @@ def score(docs: DataFrame, model: tuple[np.ndarray, tuple[float, float]], text:
         .withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
         .drop("_evidence")
     )
+
+
+def keep_clean(docs: DataFrame, model: tuple[np.ndarray, tuple[float, float]], text: str = "text") -> DataFrame:
+    """The documents whose score is below 0.5, with all their columns."""
+    ratio, (slope, offset) = model
+    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            clean = [slope * evidence(shared.value, t) + offset < 0 for t in bodies]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
