@@ -29,9 +29,9 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN m ON m.node = d.doc_id
 """,
     "op5_top_products": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), p AS (
   SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
   FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
@@ -52,7 +52,7 @@ WITH w AS (
 ), m AS (
   SELECT w.doc_id, t, ls, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
     len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-    (len(list_filter(ls, x -> trim(x, {_WHITE}) <> '')) - len(list_distinct(list_filter(ls, x -> trim(x, {_WHITE}) <> ''))))::BIGINT AS n_dup_lines,
+    (len(list_filter(ls, lambda x: trim(x, {_WHITE}) <> '')) - len(list_distinct(list_filter(ls, lambda x: trim(x, {_WHITE}) <> ''))))::BIGINT AS n_dup_lines,
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN c USING (doc_id)
 ), b AS (
