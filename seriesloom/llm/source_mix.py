@@ -200,12 +200,19 @@ def mix(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     Empty tables give an empty result; other columns pass through.
     """
     chosen = decide(written(sized(docs, text), "mix-sizes"), **how).where(F.col("copies") > 0).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies"
+        F.col("doc_id").alias("_mix_id"),
+        F.col("source").alias("_mix_source"),
+        F.col("size").alias("_mix_size"),
+        F.col("copies").alias("_mix_copies"),
+    )
+    body = docs.withColumn("_mix_words", word_count(F.col(text)))
+    match: Column = (
+        same(F.col("doc_id"), F.col("_mix_id"))
+        & same(F.col("source"), F.col("_mix_source"))
+        & (F.col("_mix_words") == F.col("_mix_size"))
     )
-    body = docs.withColumn("_words", word_count(F.col(text)))
-    match: Column = same(F.col("doc_id"), F.col("_id")) & same(F.col("source"), F.col("_source")) & (F.col("_words") == F.col("_size"))
     return (
         body.join(chosen, match)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
