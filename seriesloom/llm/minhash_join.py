@@ -8,10 +8,12 @@ MATCHES of them agree in one of the first (left - MATCHES + 1) of each, so the m
 lists are skipped. Classes that meet in a list and agree in at least MATCHES coordinates
 are compared on their full shingle sets.
 
-A list is first read as a star: its members against one of them. Confirmed links are
-contracted to components, and only members of different components of a list are still to
-be compared, pair by pair. A list of near copies thus costs its length, and no pair of
-different components that meets in a list is left out.
+A list is first read as a star: its centre is the member of least hash, so lists of the same
+members share it, and each class is compared with the one centre it meets in most lists.
+Confirmed links are contracted to components, and only members of different components of a
+list whose set sizes allow the similarity are still to be compared, pair by pair. A list of
+near copies thus costs its length, and no pair of different components that meets in a list
+and can be similar is left out.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.common import written
@@ -32,7 +34,7 @@ PERCENT = 75
 COORDINATES = 64
 #: Two sets of similarity 0.75 agree in fewer coordinates once in some 100,000 pairs.
 MATCHES = 32
-STARS = 2
+STARS = 3
 
 _RNG = np.random.default_rng(97)
 _FACTOR = _RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -82,16 +84,21 @@ def postings(classes: DataFrame, matches: int) -> DataFrame:
     return ranked.where(F.size("own") >= matches).select("rep", F.explode(prefix.getField("key")).alias("key"))
 
 
+def _comparable(x: str, y: str, percent: int) -> Column:
+    """Sets of these sizes can reach the similarity."""
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
 def _agreeing(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
-    """Distinct pairs whose signatures agree in at least `matches` coordinates, with `agree`."""
+    """Distinct pairs whose signatures agree in at least `matches` coordinates."""
     left = classes.select(F.col("rep").alias("a"), F.col("marks").alias("_x"))
     right = classes.select(F.col("rep").alias("b"), F.col("marks").alias("_y"))
     equal = F.size(F.filter(F.zip_with("_x", "_y", lambda x, y: x == y), lambda e: e))
     return (
         pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         .join(left, "a").join(right, "b")
-        .select("a", "b", equal.alias("agree"))
-        .where(F.col("agree") >= matches)
+        .where(equal >= matches)
+        .select("a", "b")
     )
 
 
@@ -142,45 +149,46 @@ def near_duplicates(
         usable.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("marks").alias("marks"), F.count("*").alias("members")),
         "near-classes",
     )
-    classes = grouped.select("rep", "marks").dropDuplicates(["rep"])
+    classes = grouped.select("rep", "marks", F.col("n_shingles").alias("size")).dropDuplicates(["rep"])
     posted = written(postings(classes, matches), "near-postings")
-    live = posted.select("rep").distinct()
-    classes = written(classes.join(live, "rep", "left_semi"), "near-live")
-    sets = written(full_sets(docs, live, text, shingle), "near-sets")
+    classes = written(classes.join(posted.select("rep").distinct(), "rep", "left_semi"), "near-live")
+    live = classes.select("rep", "size")
+    sets = written(full_sets(docs, live.select("rep"), text, shingle), "near-sets")
 
     links = None
-    labels = live.select("rep", F.col("rep").alias("component"))
+    labels = live.withColumn("component", F.col("rep"))
     for turn in range(STARS):
         # In each list one member is the centre; members of its component are done.
-        placed = written(posted.join(labels, "rep"), "near-placed")
-        by_hash = F.struct(F.xxhash64("rep", "key", F.lit(turn)).alias("h"), "rep", "component")
+        placed = posted.join(labels, "rep")
+        by_hash = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "component", "size")
         centres = placed.groupBy("key").agg(
             F.min(by_hash).alias("c"), F.min("component").alias("_low"), F.max("component").alias("_high")
-        ).where("_low <> _high").select("key", F.col("c.rep").alias("a"), F.col("c.component").alias("of"))
-        met = placed.join(centres, "key").where("of <> component").select("a", F.col("rep").alias("b"))
-        agreed = _agreeing(met, classes, matches)
-        # Each member tries its best centre; what that leaves is met again below.
-        best = written(
-            agreed.select("a", "b", "agree").union(agreed.select("b", "a", "agree"))
-            .groupBy("b").agg(F.max(F.struct("agree", "a")).alias("m")).select("b", F.col("m.a").alias("a")),
-            "near-stars",
-        )
-        found = confirmed(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent)
+        ).where("_low <> _high").select("key", "c.h", F.col("c.rep").alias("a"), F.col("c.component").alias("of"), F.col("c.size").alias("_size"))
+        met = placed.join(centres, "key").where((F.col("of") != F.col("component")) & _comparable("size", "_size", percent))
+        # Each member tries the centre it meets most often; what that leaves is met again below.
+        most = met.groupBy(F.col("rep").alias("b"), "a", "h").agg(F.count("*").alias("n"))
+        best = most.groupBy("b").agg(F.max(F.struct("n", "h", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+        agreed = written(_agreeing(best, classes, matches), "near-stars")
+        found = confirmed(agreed, sets, percent)
         links = written(found if links is None else links.union(found), "near-links")
         joined = components(links)
         labels = live.join(joined, F.col("rep") == F.col("node"), "left").select(
-            "rep", F.coalesce("component", "rep").alias("component")
+            "rep", "size", F.coalesce("component", "rep").alias("component")
         )
         labels = written(labels, "near-labels")
     # What still meets across components is compared pair by pair, less the largest component's own pairs.
-    placed = written(posted.join(labels, "rep"), "near-placed")
+    placed = posted.join(labels, "rep")
+    kinds = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high")
+    placed = written(placed.join(kinds.select("key"), "key"), "near-placed")
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("kinds")).where(
-        "kinds > 1"
-    ).select("key", F.col("m.component").alias("largest"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m")).select("key", F.col("m.component").alias("largest"))
     mixed = placed.join(largest, "key")
-    small = mixed.where("component <> largest").select("key", F.col("rep").alias("a"), F.col("component").alias("of"))
-    met = small.join(mixed, "key").where("of <> component")
+    small = mixed.where("component <> largest").select(
+        "key", F.col("rep").alias("a"), F.col("component").alias("of"), F.col("size").alias("_size")
+    )
+    # Two small members meet from both sides; the smaller id keeps the pair.
+    once = (F.col("component") == F.col("largest")) | (F.col("a") < F.col("rep"))
+    met = small.join(mixed, "key").where((F.col("of") != F.col("component")) & once & _comparable("size", "_size", percent))
     rest = _agreeing(met.select("a", F.col("rep").alias("b")), classes, matches)
     links = written(links.union(confirmed(rest, sets, percent)), "near-links")
 
