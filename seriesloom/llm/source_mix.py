@@ -6,6 +6,8 @@ probabilities inside the null space of two constraints, the number of documents
 number of tokens of the source, until each is 0 or 1 but for a few. Sources are cut into
 blocks of bounded size; what each block leaves open meets in fewer blocks, and so on, until
 one small landing problem per source remains, which is solved by trying all its outcomes.
+Documents that hold a large share of their source are landed first, and the others make up
+for what that misses: no landing of theirs could.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ BLOCK = 1024
 #: Documents that one flight moves at a time, and those left to the landing.
 WINDOW = 32
 LANDING = 8
+#: Units of at least 1 / HEAVY of their source's words are landed first: at most so many per source.
+HEAVY = 64
 _EPS = 1e-9
 
 
@@ -144,12 +148,31 @@ def _round(last: bool):
     return move
 
 
+def _land_heavy(state: DataFrame, limit: float) -> tuple[DataFrame, DataFrame]:
+    """The other units with the share that reaches the target, and the landed large ones."""
+    large = (F.col("_size") > 0) & (F.col("_size") * HEAVY >= F.col("source_size"))
+    heavy = written(state.where(large).groupBy("source").applyInPandas(_round(True), state.schema), "mix-heavy")
+    used = heavy.groupBy(F.col("source").alias("_of")).agg(
+        F.sum((F.col("_whole") + F.col("_pi")) * F.col("_size")).alias("_used"), F.sum("_size").alias("_held")
+    )
+    left = F.col("source_size") - F.col("_held")
+    rate = F.when(left > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(limit)), (F.col("target") - F.col("_used")) / left)))
+    close = F.round(rate, 9)
+    rest = state.where(~large).join(used, same(F.col("source"), F.col("_of")), "left").withColumns(
+        {
+            "_whole": F.coalesce(F.floor(close).cast("int"), "_whole"),
+            "_pi": F.coalesce(close - F.floor(close), "_pi"),
+        }
+    )
+    return written(rest.select(*state.columns), "mix-rest"), heavy
+
+
 def decide(sizes: DataFrame, **how) -> DataFrame:
     """Copies per document: doc_id, source, size, source_size, target, copies.
 
     `sizes` has doc_id, source and size. Rows that repeat all three are one unit, drawn
     together. Null ids and sources are values like any other. A source without words gets
-    no copies. Reruns give the same draw: order and randomness come from the rows alone.
+    no copies; a source of a few large documents comes as near as whole copies allow. Reruns give the same draw: order and randomness come from the rows alone.
     """
     units = sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
     goal = targets(sizes, **how)
@@ -163,8 +186,9 @@ def decide(sizes: DataFrame, **how) -> DataFrame:
         F.xxhash64("doc_id", "size").alias("_hash"),
     )
     state = written(state, "mix-units")
+    state, heavy = _land_heavy(state, how.get("limit", LIMIT))
     most = state.agg(F.max("n_units")).first()[0] or 0
-    done: list[DataFrame] = []
+    done: list[DataFrame] = [heavy]
     at_most, left = F.col("n_units"), most
     turn = 0
     while True:
