@@ -13,13 +13,16 @@ from seriesloom.llm import (
     minhash_join,
     packing,
     quality_rules,
+    rank_bpe,
     repeat_index,
     source_mix,
+    square_runs,
+    token_alignment,
     top_products,
     toxicity,
     url_filters,
 )
-from seriesloom.llm.common import crc_mod, same, table, written
+from seriesloom.llm.common import crc_mod, same, table, words, written
 from seriesloom.llm.sql import SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,10 +36,10 @@ def query(name: str):
     return register
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op1_source_mix")
@@ -115,3 +118,49 @@ def op10_site_lines(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.drop_lines(docs).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256")
     )
+
+
+def _with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """In one document of ten, chosen by a hash of its id, the words from some place on repeat."""
+    hashed = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    some = docs.where(hashed % 10 == 0).select("doc_id", hashed.alias("_h"), words(F.col("text")).alias("_words"))
+    g, n = F.floor(F.col("_h") / 10), F.size("_words")
+    first = (g % F.greatest(n, F.lit(1))).cast("int")
+    period = (1 + F.floor((n - first) / (3 + g % 8))).cast("int")
+    unit = F.slice("_words", first + 1, period)
+    times = F.ceil((n - first) / period).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(unit, times)), F.lit(1), n - first)
+    return docs.where(hashed % 10 != 0).select("doc_id", "text").union(
+        some.select("doc_id", F.array_join(F.concat(F.slice("_words", F.lit(1), first), tail), " ").alias("text"))
+    )
+
+
+@query("op11_square_runs")
+def op11_square_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = square_runs.periodic_runs(_with_periodic_tails(table(spark, folder, "documents")))
+    best = found.select("*", square_runs.longest_run(F.col("runs")).alias("_best"))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("_best.start").alias("start"),
+        (-F.col("_best.short")).alias("length"),
+        F.col("_best.period").alias("period"),
+        F.expr("1000 * -_best.short div _best.period").alias("exponent_milli"),
+        F.sha2(square_runs.run_lines(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return token_alignment.linked(docs, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op13_rank_bpe")
+def op13_rank_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    coded = rank_bpe.encode_decode(docs, tokenizer_path("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
