@@ -12,9 +12,10 @@ on salted parts of each length, and the placement are distributed.
 from __future__ import annotations
 
 import bisect
-import re
+import json
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -22,53 +23,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.llm import byte_tokens
 from seriesloom.llm.common import written
+from seriesloom.llm.slices import bounded
 
 CAPACITY = 2048
 END_ID = 0
 #: Rows of one length that are ranked in one group.
 RANKED = 4096
-#: Tokenised chunks a worker remembers; the memory is emptied when full.
-REMEMBER = 400_000
+#: Bytes of text that are tokenised at once.
+SLICE = 8 << 20
 
-#: Fixed value: white space of the tokenizer's own splitting (Unicode White_Space).
-_WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: White space before a word starts a new token in any context, so such chunks are
-#: tokenised alone and remembered.
-_CHUNK = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 
+class TextTokenizer:
+    """Packed ids (little-endian, 32 bits) of whole texts.
 
-class ChunkTokenizer:
-    """Packed ids (little-endian, 32 bits) of whole texts, through remembered chunks."""
+    Byte-level merges run on the vocabulary's ranks; texts that hold the string of a special
+    token go to the library, which makes it one id.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.path, self.library = path, None
+        self.encode = byte_tokens.encoder(path).encode_ordinary
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+    def _with_special(self, text: str) -> list[int]:
+        from tokenizers import Tokenizer
 
-    def _packed(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        self.library = self.library or Tokenizer.from_file(self.path)
+        return self.library.encode(text, add_special_tokens=False).ids
 
-    def pack(self, texts: list[str]) -> list[bytes]:
-        plain = [not any(s in t for s in self.special) for t in texts]
-        chunks = [_CHUNK.findall(t) if ok else [] for t, ok in zip(texts, plain, strict=True)]
-        new = {c for cs in chunks for c in cs if c not in self.known}
-        if len(self.known) + len(new) > REMEMBER:
-            self.known = {}
-            new = {c for cs in chunks for c in cs}
-        fresh = sorted(new)
-        self.known.update(zip(fresh, self._packed(fresh), strict=True))
-        get = self.known.__getitem__
-        return [
-            b"".join(map(get, cs)) if ok else self._packed([t])[0]
-            for t, cs, ok in zip(texts, chunks, plain, strict=True)
-        ]
+    def pack(self, text: str) -> bytes:
+        found = self._with_special(text) if any(s in text for s in self.special) else self.encode(text)
+        return np.array(found, dtype="<u4").tobytes()
 
 
-_WORKER: dict[str, ChunkTokenizer] = {}
+@cache
+def load(path: str) -> TextTokenizer:
+    return TextTokenizer(path)
 
 
 def _cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -88,15 +81,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: i
     tail = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = _WORKER.setdefault(tokenizer_path, None) or ChunkTokenizer(tokenizer_path)
-        _WORKER[tokenizer_path] = made
+        made = load(tokenizer_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in bounded(batch, 1, SLICE):
                 out: list[list] = [[], [], [], [], []]
-                packed = made.pack([t or "" for t in part.column(1).to_pylist()])
-                for doc, ids in zip(part.column(0).to_pylist(), packed, strict=True):
-                    ids += tail
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    ids = made.pack(text.as_py() or "") + tail
                     for k, (start, length) in enumerate(_cut(len(ids) // 4, capacity)):
                         crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
                         for column, value in zip(out, (doc, k, start, length, crc), strict=True):
