@@ -1,73 +1,99 @@
 """Exact ranks and quantiles of groups of any size.
 
 A window ordered over a whole group puts that group into one task, and an exact percentile
-keeps it in one buffer. Here a group is cut into value ranges first: equal values collapse
-to one counted row on the map side, sketched quantiles give the range edges, and the running
-count is taken inside each range and shifted by the size of the ranges below. The result is
-exact whatever the edges are; they only balance the work.
+keeps it in one buffer. Here equal values collapse to one counted row on the map side, and a
+group is cut into value ranges until every range has at most `limit` distinct values: ranges
+above the limit get splitters from their own sketch and are split again. The number of
+ranges follows the data, a group below the limit is a single range, and the result is exact
+whatever the splitters are. The running count is taken inside each range and shifted by the
+sizes of the ranges below.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 256
+from seriesloom.sources.store import cut_lineage
 
+#: Distinct values that one task orders.
+RANGE_LIMIT = 200_000
+#: Parts into which a range above the limit is split.
+FANOUT = 64
+#: Rows of a helper table (of a few hundred numbers at most each) that may be broadcast.
+BROADCAST_ROWS = 1000
 
-def _range_number(value: Column, step: int) -> Column:
-    """Number of edges below the value: first among every `step`-th edge, then within."""
-    skipped = F.size(F.filter("_coarse", lambda edge: edge < value)) * step
-    fine = F.slice("_edges", skipped + 1, F.lit(step))
-    return skipped + F.size(F.filter(fine, lambda edge: edge < value))
 
-
-def ranked_values(
-    df: DataFrame, keys: list[str], value: str, ranges: int = RANGES
+def attach(
+    rows: DataFrame, helper: DataFrame, keys: list[str], how: str = "inner", most: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Distinct known values per key with `n_tied`, `n_below` and `n_total` row counts.
+    """Join a written helper table with one row per key.
 
-    The number of keys is small (columns, horizons, models) while a key may hold any number
-    of rows. The two helper tables have at most `ranges` rows per key, which bounds the
-    broadcasts. Readers of one shuffled table use the same columns of it, so Spark reuses the
-    shuffle.
+    Few keys mean large groups, and a small helper: it is broadcast after its rows have been
+    counted. With more keys both sides meet in a shuffled join, where the adaptive skew join
+    splits a key that has very many rows.
     """
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("n_tied"))
-    )
-    step = max(1, int(ranges**0.5))
-    marks = ", ".join(f"{k / ranges!r}D" for k in range(1, ranges))
-    edges = counted.groupBy(*keys).agg(
-        F.expr(f"percentile_approx(`{value}`, array({marks}), {8 * ranges})").alias("_edges"),
-        F.sum("n_tied").alias("n_total"),
-    ).withColumn("_coarse", F.filter("_edges", lambda edge, i: i % step == step - 1))
-    placed = (
-        counted.join(F.broadcast(edges), keys)
-        .select(
-            *keys, value, "n_tied", "n_total",
-            F.coalesce(_range_number(F.col(value), step), F.lit(0)).alias("_range"),
+    small = helper.count() <= most
+    return rows.join(F.broadcast(helper) if small else helper.hint("merge"), keys, how)
+
+
+def split_ranges(
+    values: DataFrame, keys: list[str], value: str, limit: int = RANGE_LIMIT, weight: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Rows that are distinct by (keys, value) with `_range`, and the written table of ranges
+    `(keys, _range, _n, _weight)`.
+
+    Ranges are numbered in the order of their values, and none has more than `limit` rows.
+    Each turn splits only what is above the limit; a turn divides it by about FANOUT, so
+    there are as many turns as the logarithm of the size has digits to that base.
+    """
+    marks = ", ".join(f"{k / FANOUT!r}D" for k in range(1, FANOUT))
+    rows = cut_lineage(values.withColumn("_range", F.lit(0).cast("long")), "ranges")
+    by = [*keys, "_range"]
+    for _ in range(10):
+        counts = [F.count(F.lit(1)).alias("_n"), F.sum(weight or F.lit(1)).alias("_weight")]
+        sizes = cut_lineage(rows.groupBy(*by).agg(*counts), "range-sizes")
+        wide = sizes.where(F.col("_n") > limit).select(*by)
+        if wide.isEmpty():
+            return rows, sizes
+        sketch = F.expr(f"percentile_approx(`{value}`, array({marks}), {16 * FANOUT})").alias("_edges")
+        edges = cut_lineage(rows.join(wide, by, "left_semi").groupBy(*by).agg(sketch), "range-edges")
+        below = F.size(F.filter("_edges", lambda edge: edge < F.col(value)))
+        number = F.col("_range") * FANOUT + F.coalesce(F.when(F.col("_edges").isNotNull(), below), F.lit(0))
+        rows = cut_lineage(
+            attach(rows, edges, by, "left").select(*values.columns, number.cast("long").alias("_range")), "ranges"
         )
-        .repartition(*keys, "_range")
+    raise ValueError("values can't be split into ranges of the limit; is the column free of duplicates?")
+
+
+def range_offsets(sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """For every range the weight of the ranges below it (`_offset`) and of its key (`n_total`)."""
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    lower = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return cut_lineage(
+        sizes.select(
+            *keys, "_range",
+            F.coalesce(F.sum("_weight").over(lower), F.lit(0)).alias("_offset"),
+            F.sum("_weight").over(whole).alias("n_total"),
+        ),
+        "range-offsets",
     )
-    lower = (
-        Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    # The unused maxima keep all columns in this branch, so that both branches read the one
-    # shuffle of `placed` instead of computing and shuffling the ranges twice.
-    sizes = placed.groupBy(*keys, "_range").agg(
-        F.sum("n_tied").alias("_in_range"), F.max(value).alias("_top"), F.max("n_total").alias("_all")
-    )
-    offsets = sizes.where("_top is not null and _all > 0").select(
-        *keys, "_range", F.coalesce(F.sum("_in_range").over(lower), F.lit(0)).alias("_offset")
+
+
+def ranked_values(df: DataFrame, keys: list[str], value: str, limit: int = RANGE_LIMIT) -> DataFrame:
+    """Distinct known values per key with `n_tied`, `n_below` and `n_total` row counts.
+
+    Keys may be few and large (columns, horizons, models) or many and small (series).
+    """
+    counted = (
+        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_tied"))
     )
+    rows, sizes = split_ranges(counted, keys, value, limit, "n_tied")
+    placed = attach(rows, range_offsets(sizes, keys), [*keys, "_range"])
     inside = (
-        Window.partitionBy(*keys, "_range")
-        .orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     )
-    return placed.join(F.broadcast(offsets), [*keys, "_range"]).select(
+    return placed.select(
         *keys,
         value,
         "n_tied",
@@ -107,10 +133,10 @@ def exact_quantiles(
     keys: list[str],
     value: str,
     probabilities: list[float],
-    ranges: int = RANGES,
+    limit: int = RANGE_LIMIT,
 ) -> DataFrame:
     return quantiles_of_ranked(
-        ranked_values(df, keys, value, ranges), keys, value, probabilities
+        ranked_values(df, keys, value, limit), keys, value, probabilities
     )
 
 
@@ -125,15 +151,17 @@ def attach_rank(
 ) -> DataFrame:
     """Average rank (ties share the mean of their places) of every row.
 
-    A value that holds more than one in `hot_share` of a key's rows gets its rank from a
-    broadcast table: at most `hot_share` values per key can be that common. All other rows
-    join by value. Rows already ranked are spread over the join's tasks by a salt that the
-    other side never has, so no task gets them all.
+    A value that holds more than one in `hot_share` of all rows gets its rank from a broadcast
+    table: at most `hot_share` values can be that common, whatever the number of keys. All
+    other rows join by value. Rows already ranked are spread over the join's tasks by a salt
+    that the other side never has, so no task gets them all.
     """
     average = (F.col("n_below") + (F.col("n_tied") + 1) / 2).alias(rank)
-    is_hot = F.col("n_tied") * hot_share > F.col("n_total")
-    hot = ranked.where(is_hot).select(*keys, value, average.alias("_hot"))
-    cold = ranked.where(~is_hot).select(*keys, value, F.lit(0).alias("_salt"), average)
+    ranked = cut_lineage(ranked.select(*keys, value, "n_tied", average), "ranks")
+    total = ranked.agg(F.sum("n_tied")).first()[0] or 0
+    is_hot = F.col("n_tied") * hot_share > total
+    hot = ranked.where(is_hot).select(*keys, value, F.col(rank).alias("_hot"))
+    cold = ranked.where(~is_hot).select(*keys, value, F.lit(0).alias("_salt"), rank)
     spread = F.lit(1) + F.pmod(F.xxhash64(*row_key), F.lit(997)).cast("int")
     salted = rows.join(F.broadcast(hot), [*keys, value], "left").withColumn(
         "_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(spread)

@@ -1,8 +1,9 @@
 """Distribution tables: bands, histograms, calibration curves, density grids, QQ points.
 
-Groups are few and large (horizon, model), so nothing here orders or collects a group in one
-task. Per-group statistics are aggregated first and joined back as a table with one row per
-group, which is why they may be broadcast.
+Groups may be few and large (horizon, model) or many and small (series). Nothing here orders
+or collects a group in one task. Per-group statistics are aggregated first, written, and
+joined back as a table with one row per group: broadcast after their rows have been counted,
+or met in a shuffled join (`ordered.attach`).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.normal import normal_density, probit
 from seriesloom.operators.ordered import (
+    attach,
     ordered_points,
     quantiles_of_ranked,
     ranked_values,
@@ -22,6 +24,7 @@ from seriesloom.settings import (
     PRICE_BANDS,
     RESIDUAL_BINS,
 )
+from seriesloom.sources.store import cut_lineage
 
 
 def residuals(df: DataFrame, y: str = "y_true", p: str = "y_pred") -> DataFrame:
@@ -84,11 +87,14 @@ def histogram(
 ) -> DataFrame:
     """Equal-width histogram per group as density; empty bins are present with 0."""
     known = df.where(F.col(value).isNotNull())
-    limits = known.groupBy(*keys).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_n")
+    limits = cut_lineage(
+        known.groupBy(*keys).agg(
+            F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_n")
+        ),
+        "limits",
     )
     counts = (
-        known.join(F.broadcast(limits), keys)
+        attach(known, limits, keys)
         .groupBy(*keys, equal_width_bin(F.col(value), F.col("_lo"), F.col("_hi"), bins).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -120,11 +126,14 @@ def density_grid(
 ) -> DataFrame:
     """Log count of (actual, predicted) on a grid of square cells; empty cells are absent."""
     both = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
-    limits = both.groupBy(*keys).agg(
-        F.min(y).alias("_y0"), F.max(y).alias("_y1"), F.min(p).alias("_p0"), F.max(p).alias("_p1")
+    limits = cut_lineage(
+        both.groupBy(*keys).agg(
+            F.min(y).alias("_y0"), F.max(y).alias("_y1"), F.min(p).alias("_p0"), F.max(p).alias("_p1")
+        ),
+        "limits",
     )
     return (
-        both.join(F.broadcast(limits), keys)
+        attach(both, limits, keys)
         .groupBy(
             *keys,
             equal_width_bin(F.col(y), F.col("_y0"), F.col("_y1"), cells).alias("cell_x"),
@@ -144,14 +153,17 @@ def calibration_curve(
     """Mean prediction and mean actual per quantile bin of the prediction.
 
     Bins are (lo, hi] with the lowest edge included; equal edges are merged. A group has
-    `bins + 1` edges, so the edge table is tiny and broadcast.
+    `bins + 1` edges, one row of the edge table.
     """
     both = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
     marks = [k * (1.0 / bins) for k in range(bins)] + [1.0]
-    edges = quantiles_of_ranked(ranked_values(both, keys, p), keys, p, marks).select(
-        *keys, F.array_distinct("quantiles").alias("_edges")
+    edges = cut_lineage(
+        quantiles_of_ranked(ranked_values(both, keys, p), keys, p, marks).select(
+            *keys, F.array_distinct("quantiles").alias("_edges")
+        ),
+        "edges",
     )
-    placed = both.join(F.broadcast(edges), keys).select(
+    placed = attach(both, edges, keys).select(
         *keys,
         F.col(y).alias("_y"),
         F.col(p).alias("_p"),

@@ -2,7 +2,17 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from seriesloom.operators.ordered import attach_rank, exact_quantiles, ordered_points, ranked_values
+from pyspark.sql import functions as F
+
+from seriesloom.operators.ordered import (
+    attach,
+    attach_rank,
+    exact_quantiles,
+    ordered_points,
+    ranked_values,
+    split_ranges,
+)
+from seriesloom.sources.store import cut_lineage
 
 
 @pytest.fixture(scope="module")
@@ -21,10 +31,10 @@ def values(spark):
     return pdf, spark.createDataFrame(pdf[["g", "x", "id"]]).union(missing)
 
 
-@pytest.mark.parametrize("ranges", [4, 16, 256])
-def test_ranked_values(values, ranges):
+@pytest.mark.parametrize("limit", [3, 100, 10_000])
+def test_ranked_values(values, limit):
     pdf, df = values
-    got = ranked_values(df, ["g"], "x", ranges).toPandas().sort_values(["g", "x"]).reset_index(drop=True)
+    got = ranked_values(df, ["g"], "x", limit).toPandas().sort_values(["g", "x"]).reset_index(drop=True)
     counts = pdf.groupby(["g", "x"]).size().rename("n_tied").reset_index()
     counts["n_below"] = counts.groupby("g")["n_tied"].cumsum() - counts["n_tied"]
     pd.testing.assert_frame_equal(got[["g", "x", "n_tied", "n_below"]], counts, check_dtype=False)
@@ -58,8 +68,30 @@ def test_ordered_points_unfold_ties(values):
         np.testing.assert_array_equal(mine["x"].to_numpy(), np.sort(part["x"].to_numpy()))
 
 
-def test_ranking_has_no_window_over_a_whole_group(values):
+@pytest.mark.parametrize("limit", [1, 7, 500])
+def test_no_range_is_above_the_limit(values, limit):
+    """Ranges above the limit are split again, however large the table is; order is kept."""
+    _, df = values
+    many = df.select("g", F.explode(F.array(*[F.col("x") + k * 1e-3 for k in range(10)])).alias("x"))
+    distinct = many.where("x is not null").distinct()
+    rows, sizes = split_ranges(distinct, ["g"], "x", limit)
+    assert sizes.agg(F.max("_n")).first()[0] <= limit
+    assert rows.count() == distinct.count() == sizes.agg(F.sum("_n")).first()[0]
+    spans = rows.groupBy("g", "_range").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).toPandas()
+    for _, part in spans.sort_values(["g", "_range"]).groupby("g"):
+        assert (part["hi"].to_numpy()[:-1] < part["lo"].to_numpy()[1:]).all()
+
+
+def test_a_small_group_is_one_range(values):
+    _, df = values
+    _, sizes = split_ranges(df.where("x is not null").select("g", "x").distinct(), ["g"], "x")
+    assert sizes.count() == 3
+
+
+def test_attach_broadcasts_only_counted_tables(values):
     _, df = values
-    plan = ranked_values(df, ["g"], "x")._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Window [") == 2
-    assert "SinglePartition" not in plan
+    helper = cut_lineage(df.groupBy("g").agg(F.max("x").alias("top")), "helper")
+    plan = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(attach(df, helper, ["g"]))
+    assert "SortMergeJoin" in plan(attach(df, helper, ["g"], most=2))
+    assert attach(df, helper, ["g"]).count() == attach(df, helper, ["g"], most=2).count() == df.count()
