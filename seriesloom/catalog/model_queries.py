@@ -1,20 +1,22 @@
 """Tree models on the daily panel. Rows are checked, not values: learners are randomised.
 
-The registered queries use few and shallow trees so that they finish quickly; the library
-defaults in `plans.training` are the full settings.
+The registered queries use the whole feature table, all folds, horizons, candidates and
+repeats, with few and shallow trees; the library defaults in `plans.training` have the full
+number of trees. Keys, folds, dates and counts are checked by queries of their own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seriesloom.catalog.registry import query
+from seriesloom.catalog.registry import query, rounded
+from seriesloom.catalog.sql import with_ctes
 from seriesloom.catalog.views import Views
-from seriesloom.functions.dates import calendar_parts
-from seriesloom.operators import features, metrics
+from seriesloom.operators import features, metrics, monotone
 from seriesloom.plans import forecasting, training
 from seriesloom.plans.training import BOOSTED, FOREST
 from seriesloom.session import scratch_dir
+from seriesloom.settings import HORIZONS
 from seriesloom.sources import store
 
 QUICK = {
@@ -22,22 +24,19 @@ QUICK = {
     FOREST: {"numTrees": 6, "maxDepth": 5},
 }
 TRIALS = {
-    BOOSTED: [{"maxIter": 2, "maxDepth": 3, "stepSize": 0.3}, {"maxIter": 4, "maxDepth": 2, "stepSize": 0.5}],
-    FOREST: [{"numTrees": 4, "maxDepth": 4}, {"numTrees": 6, "maxDepth": 5}],
+    BOOSTED: [
+        {"maxIter": 2, "maxDepth": 3, "stepSize": 0.3},
+        {"maxIter": 4, "maxDepth": 2, "stepSize": 0.5},
+        {"maxIter": 3, "maxDepth": 4, "stepSize": 0.4},
+    ],
+    FOREST: [{"numTrees": 4, "maxDepth": 4}, {"numTrees": 6, "maxDepth": 5}, {"numTrees": 8, "maxDepth": 3}],
 }
 TARGET = "target_h7d"
 
 
 def training_table(v: Views):
-    """Features and targets of the daily price, written once for the fits that follow."""
-    table = features.with_columns(
-        v.daily_price,
-        features.lag_columns(["price_a"], (1, 7, 30)),
-        features.mean_columns(["price_a"], (7, 30)),
-        {k: e.cast("double") for k, e in calendar_parts(F.col("date")).items() if k.startswith("month")},
-        features.target_columns(horizons=(7, 30)),
-    )
-    return store.cut_lineage(table, "training")
+    """The feature table of the daily price, written once for the fits that follow."""
+    return store.cut_lineage(features.feature_table(v.daily_price), "training")
 
 
 def _inputs(df):
@@ -64,7 +63,7 @@ def train_rf(v):
 @query("walk_forward_oof")
 def walk_forward_oof(v):
     df = training_table(v)
-    return training.walk_forward_oof(df, _inputs(df), TARGET, QUICK, n_folds=2)
+    return training.walk_forward_oof(df, _inputs(df), TARGET, QUICK)
 
 
 @query("tuning_log")
@@ -80,7 +79,7 @@ def tuning_log(v):
 @query("tune_candidates")
 def tune_candidates(v):
     df = training_table(v)
-    _, log = training.tune_candidates(df, _inputs(df), TARGET, TRIALS, max_candidates=1)
+    _, log = training.tune_candidates(df, _inputs(df), TARGET, TRIALS)
     return log.where("best").select("model", "candidate", "params", "mape")
 
 
@@ -99,7 +98,7 @@ def model_roundtrip(v):
     )
 
 
-def _models(v, df, horizons=(7, 30)):
+def _models(v, df, horizons=HORIZONS):
     return training.final_refit(df, _inputs(df), list(horizons), scratch_dir(v.spark, "models"), QUICK)
 
 
@@ -124,7 +123,7 @@ def forecast_latest(v):
 @query("forecast_period")
 def forecast_period(v):
     df = training_table(v)
-    return forecasting.forecast_period(df, _models(v, df, (7,)), "2001-01-01", "2001-07-31")
+    return forecasting.forecast_period(df, _models(v, df), "2001-01-01", "2001-07-31")
 
 
 @query("feature_importance")
@@ -138,23 +137,53 @@ def feature_importance(v):
 def permutation_importance(v):
     df = training_table(v)
     model = training.fit_model(df, _inputs(df), TARGET, FOREST, QUICK[FOREST])
-    return training.permutation_importance(df, model, TARGET, ["series_id", "date"], repeats=3)
+    return training.permutation_importance(df, model, TARGET, ["series_id", "date"])
 
 
-@query("isotonic_calibration")
-def isotonic_calibration(v):
-    """Metrics of the naive forecasts before and after recalibration, with the verdict."""
-    oof = store.cut_lineage(
-        v.oof.where(F.col("horizon").isin(1, 30)).select(
-            "series_id", "date", "horizon", F.lit("ma7").alias("model"), "y_true",
-            F.col("baseline_ma7").alias("y_pred"),
+def _naive(v, prediction=F.col("baseline_ma7")):
+    return store.cut_lineage(
+        v.oof.select(
+            "series_id", "date", "horizon", F.lit("ma7").alias("model"), "y_true", prediction.alias("y_pred")
         ),
         "oof",
     )
-    groups = [{"horizon": h, "model": "ma7"} for h in (1, 30)]
-    calibrated = training.isotonic_calibration(oof, groups)
+
+
+@query("isotonic_calibration")
+def isotonic_calibration(v):
+    """Metrics of the naive forecasts before and after recalibration, with the verdict."""
     keys = ["horizon", "model"]
+    calibrated = training.isotonic_calibration(_naive(v), keys, row_key=("series_id", "date", "horizon"))
     return metrics.tolerance_status(
         metrics.error_metrics(calibrated, p="y_pred", keys=keys, skip_zero=True),
         metrics.error_metrics(calibrated, p="y_cal", keys=keys, skip_zero=True),
     )
+
+
+@query(
+    "isotonic_fit",
+    # The fit at point i is the largest, over starts s up to i, of the smallest mean from s to
+    # an end t at or after i.
+    with_ctes(
+        """SELECT horizon, x, round(max(low), 6) AS level
+           FROM (SELECT a.horizon, b.x, a.x AS s,
+                        min((b.total - a.total + a.y) / (b.rows - a.rows + a.n)) OVER (
+                            PARTITION BY a.horizon, a.x ORDER BY b.x
+                            ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS low
+                 FROM points a JOIN points b ON b.horizon = a.horizon AND b.x >= a.x) m
+           GROUP BY horizon, x""",
+        points="""
+            SELECT horizon, x, sum(y_true) AS y, count(*) AS n,
+                   sum(sum(y_true)) OVER w AS total, sum(count(*)) OVER w AS rows
+            FROM (SELECT horizon, y_true, round(baseline_ma7) AS x FROM oof) r
+            GROUP BY horizon, x WINDOW w AS (PARTITION BY horizon ORDER BY x)""",
+    ),
+)
+def isotonic_fit(v):
+    """The fitted level of every whole-number forecast."""
+    rows = _naive(v, F.round("baseline_ma7"))
+    keys = ["horizon"]
+    blocks = monotone.isotonic_blocks(rows, keys, "y_pred", "y_true")
+    asked = rows.select("horizon", F.col("y_pred").alias("x")).distinct()
+    fitted = monotone.recalibrate(asked, blocks, keys, "x", ["horizon", "x"], name="level")
+    return rounded(fitted.select("horizon", "x", "level"), level=6)

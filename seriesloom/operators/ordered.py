@@ -140,36 +140,70 @@ def exact_quantiles(
     )
 
 
-def attach_rank(
+def attach_by_value(
     rows: DataFrame,
-    ranked: DataFrame,
+    values: DataFrame,
     keys: list[str],
     value: str,
-    rank: str,
+    column: str,
     row_key: list[str],
     hot_share: int = 1000,
 ) -> DataFrame:
-    """Average rank (ties share the mean of their places) of every row.
+    """Add to every row the `column` of its value; `values` has a row per key and value, with
+    the number of its rows as `n_tied`.
 
-    A value that holds more than one in `hot_share` of all rows gets its rank from a broadcast
+    A value that holds more than one in `hot_share` of all rows is looked up in a broadcast
     table: at most `hot_share` values can be that common, whatever the number of keys. All
-    other rows join by value. Rows already ranked are spread over the join's tasks by a salt
+    other rows join by value. Rows already served are spread over the join's tasks by a salt
     that the other side never has, so no task gets them all.
     """
-    average = (F.col("n_below") + (F.col("n_tied") + 1) / 2).alias(rank)
-    ranked = cut_lineage(ranked.select(*keys, value, "n_tied", average), "ranks")
-    total = ranked.agg(F.sum("n_tied")).first()[0] or 0
+    values = cut_lineage(values.select(*keys, value, "n_tied", column), "by-value")
+    total = values.agg(F.sum("n_tied")).first()[0] or 0
     is_hot = F.col("n_tied") * hot_share > total
-    hot = ranked.where(is_hot).select(*keys, value, F.col(rank).alias("_hot"))
-    cold = ranked.where(~is_hot).select(*keys, value, F.lit(0).alias("_salt"), rank)
+    hot = values.where(is_hot).select(*keys, value, F.col(column).alias("_hot"), F.lit(True).alias("_served"))
+    cold = values.where(~is_hot).select(*keys, value, F.lit(0).alias("_salt"), column)
     spread = F.lit(1) + F.pmod(F.xxhash64(*row_key), F.lit(997)).cast("int")
     salted = rows.join(F.broadcast(hot), [*keys, value], "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(spread)
+        "_salt", F.when(F.col("_served"), spread).otherwise(F.lit(0))
     )
     joined = salted.join(cold, [*keys, value, "_salt"], "left")
-    return joined.select(
-        *rows.columns, F.coalesce("_hot", rank).alias(rank)
+    return joined.select(*rows.columns, F.coalesce("_hot", column).alias(column))
+
+
+def attach_rank(
+    rows: DataFrame,
+    ranked: DataFrame,
+    keys: list[str],
+    value: str,
+    rank: str,
+    row_key: list[str],
+    hot_share: int = 1000,
+) -> DataFrame:
+    """Average rank (ties share the mean of their places) of every row."""
+    average = F.col("n_below") + (F.col("n_tied") + 1) / 2
+    return attach_by_value(rows, ranked.withColumn(rank, average), keys, value, rank, row_key, hot_share)
+
+
+def random_rank(df: DataFrame, row_key: list[str], seed: int, rank: str, limit: int = RANGE_LIMIT) -> DataFrame:
+    """Rows numbered from 0 in a random order that depends on their keys and the seed alone.
+
+    Rows are dealt to parts by the leading bits of a hash, numbered inside each part, and
+    moved up by the sizes of the parts below. `row_key` is unique.
+    """
+    parts = max(1, -(-df.count() // limit))
+    hashed = F.xxhash64(*row_key, F.lit(seed))
+    # The hash over 2^64, cut into equal pieces: parts follow each other in hash order.
+    dealt = df.withColumn("_hash", hashed).withColumn(
+        "_part", F.floor((F.shiftright("_hash", 33) + (1 << 30)) * F.lit(parts) / F.lit(1 << 31)).cast("int")
+    )
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    lower = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut_lineage(
+        sizes.select("_part", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_offset")), "random-offsets"
     )
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_hash", *row_key)) - 1
+    numbered = attach(dealt.withColumn("_inside", inside), offsets, ["_part"])
+    return numbered.select(*df.columns, (F.col("_offset") + F.col("_inside")).alias(rank))
 
 
 def ordered_points(

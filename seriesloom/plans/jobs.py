@@ -74,7 +74,6 @@ class JobSettings:
     n_folds: int = N_FOLDS
     embargo_days: int = 0
     candidates: dict[str, list[dict]] = field(default_factory=lambda: CANDIDATES)
-    max_candidates: int | None = None
 
     def path(self, name: str) -> str:
         return f"{self.folder.rstrip('/')}/{name}"
@@ -106,8 +105,8 @@ def train_job(
     for h in settings.horizons:
         target = f"target_h{h}d"
         best, log = tune_candidates(
-            rows, inputs, target, settings.candidates, settings.max_candidates,
-            settings.min_train, settings.n_folds,
+            rows, inputs, target, settings.candidates,
+            settings.min_train, settings.n_folds, settings.embargo_days,
         )
         log.write.mode("overwrite").json(settings.path(f"tuning/horizon={h}"))
         oof = walk_forward_oof(

@@ -10,24 +10,25 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import (
-    GBTRegressor,
-    IsotonicRegression,
-    RandomForestRegressor,
-)
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.operators.folds import panel_fold_dates
 from seriesloom.operators.metrics import error_metrics
-from seriesloom.operators.relevance import top_features
+from seriesloom.operators.monotone import isotonic_blocks, recalibrate
+from seriesloom.operators.ordered import RANGE_LIMIT, exact_quantiles, random_rank
+from seriesloom.operators.relevance import median_values, top_features
 from seriesloom.settings import MIN_TRAIN_DAYS, N_FOLDS
+from seriesloom.sources.store import cut_lineage
 
 BOOSTED = "boosted"
 FOREST = "forest"
@@ -79,27 +80,60 @@ def estimator(kind: str, params: dict | None = None, label: str = "label") -> Es
     )
 
 
-def preparation(features: list[str]) -> Pipeline:
-    """Median imputation and vector assembly, fitted on the rows it is given."""
+def preparation(spark: SparkSession, features: list[str], medians: dict[str, float]) -> PipelineModel:
+    """Imputation by the given medians and vector assembly, as saved model stages.
+
+    The stages are fitted on the one row of medians, so the imputer holds exactly these. A
+    feature without any known value has no median; it is 0 everywhere and no split uses it.
+    """
     filled = [f"{f}_filled" for f in features]
+    row = spark.createDataFrame(
+        [tuple(float(medians.get(f, 0.0)) for f in features)], ", ".join(f"`{f}` double" for f in features)
+    )
     return Pipeline(
         stages=[
             Imputer(strategy="median", inputCols=features, outputCols=filled),
             VectorAssembler(inputCols=filled, outputCol="features"),
         ]
+    ).fit(row)
+
+
+def fold_medians(rows: DataFrame, features: list[str], cuts: list, date: str = "date") -> dict[int, dict[str, float]]:
+    """Exact medians of every feature over the training rows of every fold, in one pass."""
+    trained_in = F.array_compact(
+        F.array(*[F.when(F.col(date) <= F.lit(c["train_end"]), F.lit(c["fold"])) for c in cuts])
     )
+    cells = rows.select(F.explode(trained_in).alias("fold"), *[F.col(f).cast("double") for f in features]).unpivot(
+        ["fold"], features, "feature", "value"
+    )
+    medians: dict[int, dict[str, float]] = {c["fold"]: {} for c in cuts}
+    for r in exact_quantiles(cells, ["fold", "feature"], "value", [0.5]).collect():
+        medians[r["fold"]][r["feature"]] = r["quantiles"][0]
+    return medians
 
 
 def labelled(df: DataFrame, target: str) -> DataFrame:
     return df.where(F.col(target).isNotNull()).withColumn("label", F.col(target))
 
 
+def fit_models(
+    df: DataFrame, features: list[str], target: str, kinds: dict[str, dict | None]
+) -> dict[str, PipelineModel]:
+    """Imputer, assembler and trees of each family as one saved unit; the medians and the
+    vectors are made once for all families."""
+    rows = labelled(df, target)
+    ready = preparation(df.sparkSession, features, median_values(rows, features))
+    vectors = cut_lineage(ready.transform(rows).select("features", "label"), "vectors")
+    return {
+        kind: PipelineModel(stages=[*ready.stages, estimator(kind, params).fit(vectors)])
+        for kind, params in kinds.items()
+    }
+
+
 def fit_model(
     df: DataFrame, features: list[str], target: str, kind: str, params: dict | None = None
 ) -> PipelineModel:
-    """Imputer, assembler and trees as one saved unit."""
-    stages = preparation(features).getStages() + [estimator(kind, params)]
-    return Pipeline(stages=stages).fit(labelled(df, target))
+    return fit_models(df, features, target, {kind: params})[kind]
 
 
 def predict(df: DataFrame, model: PipelineModel, kind: str, keep: list[str]) -> DataFrame:
@@ -128,11 +162,18 @@ def walk_forward_oof(
     Both families predict in one pass over the test rows, without a join.
     """
     rows = labelled(df, target)
+    cuts = _fold_list(rows, min_train, n_folds, embargo_days)
+    if not cuts:
+        raise ValueError("too few dates for the first training window")
+    if leaky:
+        medians = dict.fromkeys((c["fold"] for c in cuts), median_values(rows, features))
+    else:
+        medians = fold_medians(rows, features, cuts)
     parts = []
-    for cut in _fold_list(rows, min_train, n_folds, embargo_days):
+    for cut in cuts:
         train = rows.where(F.col("date") <= F.lit(cut["train_end"]))
         scored = rows.where(F.col("date").between(F.lit(cut["test_start"]), F.lit(cut["test_end"])))
-        ready = preparation(features).fit(rows if leaky else train)
+        ready = preparation(df.sparkSession, features, medians[cut["fold"]])
         prepared = ready.transform(train).select("features", "label")
         scored = ready.transform(scored)
         for kind, params in kinds.items():
@@ -146,8 +187,6 @@ def walk_forward_oof(
                 *[f"pred_{k}" for k in kinds],
             )
         )
-    if not parts:
-        raise ValueError("too few dates for the first training window")
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -169,43 +208,57 @@ def tune_candidates(
     features: list[str],
     target: str,
     candidates: dict[str, list[dict]] | None = None,
-    max_candidates: int | None = None,
     min_train: int = MIN_TRAIN_DAYS,
     n_folds: int = N_FOLDS,
+    embargo_days: int = 0,
+    parallelism: int = 3,
 ) -> tuple[dict[str, dict], DataFrame]:
-    """Score candidates by MAPE on the first fold; best parameters and the log table.
+    """Score all candidates by MAPE on the first fold; best parameters and the log table.
 
-    A cap on the number of candidates stands in for a time budget, so runs repeat exactly.
+    The rows of the fold are imputed and assembled once into a written vector table; the
+    fits of all candidates read it, some at a time, and share the cluster's free slots.
     Without a first fold the defaults are returned with an empty log.
     """
     spark = df.sparkSession
     best = {kind: dict(params) for kind, params in DEFAULT_PARAMS.items()}
     rows = labelled(df, target)
-    folds = _fold_list(rows, min_train, n_folds, 0)
+    folds = _fold_list(rows, min_train, n_folds, embargo_days)
     if not folds:
         return best, spark.createDataFrame([], LOG_SCHEMA)
     cut = folds[0]
-    train = rows.where(F.col("date") <= F.lit(cut["train_end"]))
-    check = rows.where(F.col("date").between(F.lit(cut["test_start"]), F.lit(cut["test_end"])))
-    ready = preparation(features).fit(train)
-    train, check = ready.transform(train).select("features", "label"), ready.transform(check)
+    in_train = F.col("date") <= F.lit(cut["train_end"])
+    in_check = F.col("date").between(F.lit(cut["test_start"]), F.lit(cut["test_end"]))
+    medians = median_values(rows.where(in_train), features)
+    vectors = cut_lineage(
+        preparation(spark, features, medians).transform(rows.where(in_train | in_check))
+        .select("features", "label", in_check.alias("check")),
+        "tuning-vectors",
+    )
+    train, check = vectors.where(~F.col("check")), vectors.where("check")
+    trials = [
+        (kind, number, {**DEFAULT_PARAMS[kind], **params})
+        for kind, listed in (candidates or CANDIDATES).items()
+        for number, params in enumerate(listed)
+    ]
+
+    def score(trial):
+        kind, _, merged = trial
+        fitted = estimator(kind, merged).fit(train)
+        return error_metrics(fitted.transform(check), "label", f"pred_{kind}").first()
+
+    with ThreadPool(max(1, min(parallelism, len(trials)))) as pool:
+        found = pool.map(inheritable_thread_target(spark)(score), trials)
+    winners: dict[str, int] = {}
+    for kind in best:
+        own = [(f["mape"], number) for (k, number, _), f in zip(trials, found, strict=True) if k == kind and f["mape"] is not None]
+        if own:
+            winners[kind] = min(own)[1]
     log = []
-    for kind, trials in (candidates or CANDIDATES).items():
-        scored = []
-        for number, params in enumerate(trials[:max_candidates]):
-            merged = {**DEFAULT_PARAMS[kind], **params}
-            fitted = estimator(kind, merged).fit(train)
-            found = error_metrics(fitted.transform(check), "label", f"pred_{kind}").first()
-            scored.append((number, merged, found))
-        usable = [s for s in scored if s[2]["mape"] is not None]
-        winner = min(usable, key=lambda s: s[2]["mape"])[0] if usable else None
-        for number, merged, found in scored:
-            if number == winner:
-                best[kind] = merged
-            log.append(
-                (kind, number, json.dumps(merged, sort_keys=True),
-                 found["rmse"], found["mae"], found["mape"], number == winner)
-            )
+    for (kind, number, merged), f in zip(trials, found, strict=True):
+        chosen = winners.get(kind) == number
+        if chosen:
+            best[kind] = merged
+        log.append((kind, number, json.dumps(merged, sort_keys=True), f["rmse"], f["mae"], f["mape"], chosen))
     return best, spark.createDataFrame(log, LOG_SCHEMA)
 
 
@@ -223,11 +276,9 @@ def final_refit(
     """Fit every horizon and family on all labelled rows, save the models and return them."""
     models: dict[int, dict[str, PipelineModel]] = {}
     for h in horizons:
-        models[h] = {}
-        for kind, params in kinds.items():
-            model = fit_model(df, features, f"target_h{h}d", kind, params)
+        models[h] = fit_models(df, features, f"target_h{h}d", kinds)
+        for kind, model in models[h].items():
             model.write().overwrite().save(model_path(folder, kind, h))
-            models[h][kind] = model
     return models
 
 
@@ -257,45 +308,43 @@ def permutation_importance(
     row_key: list[str],
     repeats: int = 10,
     seed: int = 42,
-    block_rows: int = 4096,
     n: int = 20,
 ) -> DataFrame:
     """Rise of the mean absolute error when one feature is shuffled: mean and deviation.
 
-    Rows fall into random blocks of bounded size and values are exchanged within their
-    block, in a fresh random order per repeat. A block is a random subset of all rows, so
-    this is a random permutation of the column without an order over the whole table in one
-    task, and one shuffle serves all features and repeats.
+    Every repeat permutes all rows: each row takes the values of the row that has its number
+    in a fresh random order. The numbers are distributed ranks (`ordered.random_rank`), and
+    rows meet by number, so the scheme is the same at every size and no task orders the
+    table. One permutation of the rows serves all features of a repeat.
     """
     features = model_features(model)
     kind_column = model.stages[-1].getPredictionCol()
     preparation_stages = PipelineModel(stages=model.stages[:-1])
     trees = model.stages[-1]
-    rows = labelled(df, target)
-    blocks = max(1, -(-rows.count() // block_rows))
-    base = (
-        preparation_stages.transform(rows)
-        .select(*row_key, "label", vector_to_array("features").alias("x"))
-        .withColumn("_block", F.pmod(F.xxhash64(*row_key, F.lit(seed)), F.lit(blocks)))
-        .repartition("_block")
+    base = cut_lineage(
+        random_rank(
+            preparation_stages.transform(labelled(df, target)).select(
+                *row_key, "label", vector_to_array("features").alias("x")
+            ),
+            row_key, seed, "_place",
+        ),
+        "permutation",
     )
 
     def errors(scored: DataFrame) -> F.Column:
         return F.avg(F.abs(F.col("label") - F.col(kind_column)))
 
-    shuffled = []
+    stacked = []
     for repeat in range(repeats):
-        order = Window.partitionBy("_block").orderBy(
-            F.xxhash64(*row_key, F.lit(seed + 1 + repeat)), *row_key
+        other = random_rank(base.select(*row_key, F.col("x").alias("_other")), row_key, seed + 1 + repeat, "_place")
+        stacked.append(
+            base.select("_place", "label", "x").join(other.select("_place", "_other"), "_place")
+            .select("label", "x", "_other", F.lit(repeat).alias("repeat"))
         )
-        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        # Each row takes the values of the next row in the random order, the last row those
-        # of the first.
-        taken = F.coalesce(F.lead("x").over(order), F.first("x").over(whole))
-        shuffled.append(base.select("label", "x", F.lit(repeat).alias("repeat"), taken.alias("_other")))
-    stacked = reduce(DataFrame.unionByName, shuffled)
     slots = F.sequence(F.lit(0), F.lit(len(features) - 1))
-    one_changed = stacked.select("label", "x", "_other", "repeat", F.explode(slots).alias("slot")).select(
+    one_changed = reduce(DataFrame.unionByName, stacked).select(
+        "label", "x", "_other", "repeat", F.explode(slots).alias("slot")
+    ).select(
         "label",
         "repeat",
         "slot",
@@ -319,25 +368,13 @@ def permutation_importance(
 
 def isotonic_calibration(
     oof: DataFrame,
-    groups: list[dict],
+    keys: list[str],
     prediction: str = "y_pred",
     label: str = "y_true",
+    row_key: tuple[str, ...] = ("series_id", "date"),
+    limit: int = RANGE_LIMIT,
 ) -> DataFrame:
-    """Recalibrated predictions `y_cal` per group, clipped outside the fitted range.
-
-    `groups` lists the few (horizon, model) combinations; each is one isotonic fit. Equal
-    predictions are averaged and weighted before the fit, which leaves the solution as it is
-    and lets the map side shrink the input.
-    """
-    parts = []
-    for group in groups:
-        rows = oof.where(reduce(lambda a, b: a & b, [F.col(k) == v for k, v in group.items()]))
-        known = rows.where(F.col(prediction).isNotNull() & F.col(label).isNotNull())
-        points = known.groupBy(prediction).agg(
-            F.avg(label).alias(label), F.count(F.lit(1)).cast("double").alias("weight")
-        )
-        fitted = IsotonicRegression(
-            featuresCol=prediction, labelCol=label, weightCol="weight", predictionCol="y_cal"
-        ).fit(points)
-        parts.append(fitted.transform(known))
-    return reduce(DataFrame.unionByName, parts)
+    """Rows with both values and their recalibrated prediction `y_cal`, fitted per key."""
+    known = oof.where(F.col(prediction).isNotNull() & F.col(label).isNotNull())
+    blocks = isotonic_blocks(known, keys, prediction, label, limit)
+    return recalibrate(known, blocks, keys, prediction, list(row_key), "y_cal", limit)

@@ -9,6 +9,7 @@ from seriesloom.operators.ordered import (
     attach_rank,
     exact_quantiles,
     ordered_points,
+    random_rank,
     ranked_values,
     split_ranges,
 )
@@ -95,3 +96,24 @@ def test_attach_broadcasts_only_counted_tables(values):
     assert "BroadcastHashJoin" in plan(attach(df, helper, ["g"]))
     assert "SortMergeJoin" in plan(attach(df, helper, ["g"], most=2))
     assert attach(df, helper, ["g"]).count() == attach(df, helper, ["g"], most=2).count() == df.count()
+
+
+@pytest.mark.parametrize("limit", [50, 100_000])
+def test_random_rank_is_one_permutation(values, limit):
+    _, df = values
+    one, two = (random_rank(df, ["id"], seed, "place", limit).toPandas() for seed in (1, 2))
+    assert sorted(one["place"]) == list(range(df.count())) == sorted(two["place"])
+    again = random_rank(df.repartition(7), ["id"], 1, "place", limit).toPandas()
+    assert dict(zip(one["id"], one["place"])) == dict(zip(again["id"], again["place"]))
+    assert abs(np.corrcoef(one.sort_values("id")["place"], two.sort_values("id")["place"])[0, 1]) < 0.05
+
+
+def test_exchanged_rows_keep_every_value(values):
+    """Rows that meet by the numbers of two orders are a permutation: every value stays."""
+    _, df = values
+    base = random_rank(df, ["id"], 1, "place", 100)
+    other = random_rank(df.select("id", F.col("x").alias("other")), ["id"], 9, "place", 100).drop("id")
+    met = base.join(other, "place").toPandas()
+    assert len(met) == df.count()
+    np.testing.assert_array_equal(np.sort(met["x"].to_numpy()), np.sort(met["other"].to_numpy()))
+    assert (met["x"] != met["other"]).mean() > 0.5

@@ -198,7 +198,7 @@ def test_importances(spark, table, models):
     native = training.feature_importance(spark, fitted[7][FOREST], 3).toPandas()
     assert len(native) == 3 and native["importance"].is_monotonic_decreasing
     permuted = training.permutation_importance(
-        table, fitted[1][FOREST], "target_h1d", ["series_id", "date"], repeats=2, block_rows=50
+        table, fitted[1][FOREST], "target_h1d", ["series_id", "date"], repeats=2
     ).toPandas().set_index("feature")
     assert permuted.loc["constant", "importance"] == pytest.approx(0, abs=1e-12)
     assert permuted.loc["constant", "std"] == pytest.approx(0, abs=1e-12)
@@ -210,9 +210,9 @@ def test_isotonic_calibration(spark):
     rng = np.random.default_rng(1)
     p = rng.uniform(50, 150, 400)
     df = spark.createDataFrame(
-        pd.DataFrame({"horizon": 1, "model": "m", "y_true": p * 1.2 + rng.normal(0, 5, 400), "y_pred": p})
+        pd.DataFrame({"horizon": 1, "model": "m", "y_true": p * 1.2 + rng.normal(0, 5, 400), "y_pred": p, "id": range(400)})
     )
-    out = training.isotonic_calibration(df, [{"horizon": 1, "model": "m"}]).toPandas().sort_values("y_pred")
+    out = training.isotonic_calibration(df, ["horizon", "model"], row_key=("id",)).toPandas().sort_values("y_pred")
     assert (np.diff(out["y_cal"]) >= -1e-9).all()
     assert (out["y_true"] - out["y_cal"]).abs().mean() < (out["y_true"] - out["y_pred"]).abs().mean()
 
