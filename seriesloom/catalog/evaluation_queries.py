@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seriesloom.catalog.registry import query, rounded
 from seriesloom.catalog.sql import with_ctes
+from seriesloom.catalog.views import UNIT
 from seriesloom.functions import normal
 from seriesloom.operators import combine, features, folds, metrics, relevance, spread
 from seriesloom.plans.forecasting import forecast_vs_actual, shift_to_target_date
+from seriesloom.sources import store
 from seriesloom.settings import HORIZONS, MONTH_LABELS, PRICE_BANDS, PRICE_COLUMNS
 
 MODELS = {"last": "baseline_last", "ma7": "baseline_ma7"}
@@ -126,9 +129,9 @@ def baseline_walk_forward(v):
 @query(
     "align_baseline",
     with_ctes(
-        """SELECT o.series_id, o.horizon, o.date, o.y_true, b.baseline_last AS pred_baseline
-           FROM oof o LEFT JOIN (SELECT * FROM oof WHERE fold < 5) b
-             ON b.series_id = o.series_id AND b.horizon = o.horizon AND b.date = o.date"""
+        """SELECT series_id, horizon, date, y_true,
+                  CASE WHEN fold < 5 THEN baseline_last END AS pred_baseline
+           FROM oof"""
     ),
 )
 def align_baseline(v):
@@ -370,6 +373,76 @@ def density_grid(v):
     return rounded(spread.density_grid(v.oof, ["horizon"], p="baseline_last"), log_n=9)
 
 
+@query(
+    "density_hexagons",
+    # Brute force: the nearest of all centres around a point, on both lattices.
+    with_ctes(
+        """SELECT horizon, cell_x, cell_y, count(*) AS n, round(log10(count(*)), 9) AS log_n
+           FROM (SELECT arg_min(cx, far) AS cell_x, arg_min(cy, far) AS cell_y, any_value(horizon) AS horizon
+                 FROM (SELECT id, horizon, x, y, floor(x) + i AS cx, floor(y) + j AS cy,
+                              (x - floor(x) - i) ** 2 + 3 * (y - floor(y) - j) ** 2 AS far
+                       FROM placed
+                       CROSS JOIN (SELECT unnest([0, 0, 1, 1, 0.5])::DOUBLE AS i,
+                                          unnest([0, 1, 0, 1, 0.5])::DOUBLE AS j) c) f
+                 GROUP BY id) h
+           GROUP BY horizon, cell_x, cell_y""",
+        placed="""
+            SELECT row_number() OVER () AS id, o.horizon, (y_true - y0) / (y1 - y0) * 40 AS x,
+                   (baseline_last - p0) / (p1 - p0) * 23 AS y
+            FROM oof o JOIN (SELECT horizon, min(y_true) AS y0, max(y_true) AS y1,
+                                    min(baseline_last) AS p0, max(baseline_last) AS p1
+                             FROM oof GROUP BY horizon) m ON m.horizon = o.horizon""",
+    ),
+)
+def density_hexagons(v):
+    grid = spread.density_grid(v.oof, ["horizon"], p="baseline_last", shape="hexagon")
+    return rounded(grid, log_n=9)
+
+
+_CUSTOMER_ORDERS = """
+    SELECT o_custkey, y_true, y_pred FROM (
+        SELECT o_custkey, o_totalprice / 997.3021837::DOUBLE AS y_true,
+               lag(o_totalprice / 997.3021837::DOUBLE) OVER (
+                   PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS y_pred
+        FROM orders) t
+    WHERE y_pred IS NOT NULL"""
+
+
+def _customer_orders(v):
+    """Every order of a customer, forecast by the customer's order before it."""
+    before = F.lag("y_true").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    orders = v.table("orders").select(
+        "o_custkey", "o_orderdate", "o_orderkey", (F.col("o_totalprice") / UNIT).alias("y_true")
+    )
+    known = orders.select("o_custkey", "y_true", before.alias("y_pred")).where("y_pred is not null")
+    return store.cut_lineage(known, "customer-orders")
+
+
+@query(
+    "histogram_by_customer",
+    with_ctes(
+        """SELECT e.o_custkey, CAST(e.bin AS INTEGER) AS bin, round(e.lo + (e.hi - e.lo) / 8 * e.bin, 6) AS lo,
+                  round(e.lo + (e.hi - e.lo) / 8 * (e.bin + 1), 6) AS hi, coalesce(c.n, 0) AS n,
+                  CASE WHEN e.hi > e.lo
+                       THEN round(coalesce(c.n, 0) / (e.n * ((e.hi - e.lo) / 8)), 9) END AS density
+           FROM (SELECT o_custkey, min(y_true - y_pred) AS lo, max(y_true - y_pred) AS hi, count(*) AS n,
+                        unnest(generate_series(0, 7)) AS bin FROM per_customer GROUP BY o_custkey) e
+           LEFT JOIN (SELECT p.o_custkey,
+                             CASE WHEN hi > lo THEN least(CAST(floor((y_true - y_pred - lo) / ((hi - lo) / 8)) AS INTEGER), 7)
+                                  ELSE 0 END AS bin, count(*) AS n
+                      FROM per_customer p
+                      JOIN (SELECT o_custkey, min(y_true - y_pred) AS lo, max(y_true - y_pred) AS hi
+                            FROM per_customer GROUP BY o_custkey) m ON m.o_custkey = p.o_custkey
+                      GROUP BY 1, 2) c ON c.o_custkey = e.o_custkey AND c.bin = e.bin""",
+        per_customer=_CUSTOMER_ORDERS,
+    ),
+)
+def histogram_by_customer(v):
+    """A histogram for every customer: as many groups as customers, met in a shuffled join."""
+    rows = spread.residuals(_customer_orders(v))
+    return rounded(spread.histogram(rows, "residual", ["o_custkey"], 8), lo=6, hi=6, density=9)
+
+
 _MARKS = [k * (1.0 / 12) for k in range(12)] + [1.0]
 _LOW = "sorted[CAST(floor(m * (n - 1)) AS BIGINT) + 1]"
 _HIGH = "sorted[CAST(least(floor(m * (n - 1)) + 1, n - 1) AS BIGINT) + 1]"
@@ -398,6 +471,30 @@ def calibration_curve(v):
     return rounded(curve, lo=6, hi=6, mean_pred=6, mean_true=6)
 
 
+@query(
+    "calibration_by_customer",
+    with_ctes(
+        f"""SELECT o_custkey, CAST(bin AS INTEGER) AS bin, round(edges[bin], 6) AS lo,
+                  round(edges[bin + 1], 6) AS hi, round(avg(p), 6) AS mean_pred,
+                  round(avg(y), 6) AS mean_true, count(*) AS n
+           FROM (SELECT o.o_custkey, o.y_pred AS p, o.y_true AS y, q.edges,
+                        greatest(len(list_filter(q.edges, lambda e: e < o.y_pred)), 1) AS bin
+                 FROM per_customer o JOIN (
+                    SELECT o_custkey,
+                           list_sort(list_distinct(
+                               list_transform({[0.0, 0.25, 0.5, 0.75, 1.0]}::DOUBLE[], lambda m: {_EDGE}))) AS edges
+                    FROM (SELECT o_custkey, list_sort(list(y_pred)) AS sorted, count(*) AS n
+                          FROM per_customer GROUP BY o_custkey) s) q ON q.o_custkey = o.o_custkey) t
+           GROUP BY o_custkey, bin, edges""",
+        per_customer=_CUSTOMER_ORDERS,
+    ),
+)
+def calibration_by_customer(v):
+    """Quartile bins of the forecasts for every customer."""
+    curve = spread.calibration_curve(_customer_orders(v), ["o_custkey"], bins=4)
+    return rounded(curve, lo=6, hi=6, mean_pred=6, mean_true=6)
+
+
 @query(
     "residual_normal",
     with_ctes(
@@ -479,22 +576,20 @@ def shift_forecasts(v):
 @query(
     "forecast_vs_actual",
     with_ctes(
-        """SELECT series_id, date, max(actual) AS actual, max(h1) AS h1, max(h30) AS h30
-           FROM (SELECT series_id, date, price_a AS actual, NULL::DOUBLE AS h1, NULL::DOUBLE AS h30
-                 FROM daily WHERE date >= DATE '2001-03-01'
-                 UNION ALL
-                 SELECT series_id, CAST(date + CAST(horizon AS INTEGER) AS DATE) AS d, NULL,
-                        CASE WHEN horizon = 1 THEN baseline_last END,
-                        CASE WHEN horizon = 30 THEN baseline_last END
-                 FROM oof
-                 WHERE horizon IN (1, 30)
-                   AND CAST(date + CAST(horizon AS INTEGER) AS DATE) >= DATE '2001-03-01') u
-           GROUP BY series_id, date"""
+        f"""SELECT series_id, date, max(actual) AS actual,
+                   {", ".join(f"max(p) FILTER (WHERE horizon = {h}) AS h{h}" for h in HORIZONS)}
+            FROM (SELECT series_id, date, price_a AS actual, NULL AS horizon, NULL::DOUBLE AS p
+                  FROM daily WHERE date >= DATE '2001-03-01'
+                  UNION ALL
+                  SELECT series_id, CAST(date + CAST(horizon AS INTEGER) AS DATE) AS d, NULL, horizon, baseline_last
+                  FROM oof
+                  WHERE CAST(date + CAST(horizon AS INTEGER) AS DATE) >= DATE '2001-03-01') u
+            GROUP BY series_id, date"""
     ),
 )
 def forecast_vs_actual_report(v):
     return forecast_vs_actual(
-        v.daily_price, v.oof, "2001-03-01", [1, 30], prediction="baseline_last"
+        v.daily_price, v.oof, "2001-03-01", list(HORIZONS), prediction="baseline_last"
     )
 
 
@@ -545,7 +640,13 @@ _SPEARMAN_FEATURES = ["price_b", "price_c", "price_b_lag7d", "price_c_lag30d", "
 _FILLED = ", ".join(
     f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM spearman_rows)) AS {c}" for c in _SPEARMAN_FEATURES
 )
-_ERFC = _poly("t", tuple(reversed(normal.ERFC_FIT)))
+# The incomplete beta function of (b, 1/2) at 1 - rho^2, as a series from the log gamma function.
+_SERIES = """list_sum(list_transform(range(0, 600), lambda k: exp(
+    lgamma(b + 0.5 + k) - lgamma(b + 0.5) - lgamma({c} + k) + lgamma({c}) + k * ln({x}))))"""
+_FRONT = "exp(b * ln(1 - rho * rho) + ln(abs(rho)) + lgamma(b + 0.5) - lgamma(b) - lgamma(0.5::DOUBLE))"
+_TAIL_AREA = f"""CASE WHEN -b * ln(1 - rho * rho) > 40 THEN 0
+    WHEN rho * rho > 0.5 THEN {_FRONT} / b * {_SERIES.format(c="(b + 1)", x="(1 - rho * rho)")}
+    ELSE greatest(1 - 2 * {_FRONT} * {_SERIES.format(c="(1.5::DOUBLE)", x="(rho * rho)")}, 0) END"""
 
 
 @query(
@@ -554,14 +655,10 @@ _ERFC = _poly("t", tuple(reversed(normal.ERFC_FIT)))
         f"""SELECT feature, round(rho, 6) AS rho, round(p_value, 6) AS p_value,
                    round(abs(rho), 6) AS abs_rho,
                    CASE WHEN p_value < 0.05 THEN 'Sim' ELSE 'Nao' END AS significant
-            FROM (SELECT feature, rho, t * exp({_ERFC} - x * x) AS p_value
-                  FROM (SELECT feature, rho, x, 1 / (1 + 0.5 * x) AS t
-                        FROM (SELECT feature, rho,
-                                     sqrt(-(n - 2) * ln(1 - rho * rho)) * (8 * (n - 2) + 1)
-                                         / (8 * (n - 2) + 3) / sqrt(2) AS x
-                              FROM (SELECT feature, corr(rx, ry) AS rho, count(*) AS n
-                                    FROM spearman_ranks GROUP BY feature) a) b) c) d
-            ORDER BY abs(rho) DESC, feature LIMIT 5""",
+            FROM (SELECT feature, rho, {_TAIL_AREA} AS p_value
+                  FROM (SELECT feature, corr(rx, ry) AS rho, (count(*) - 2) / 2.0::DOUBLE AS b
+                        FROM spearman_ranks GROUP BY feature) a) d
+            ORDER BY abs(rho) DESC, feature LIMIT 20""",
         spearman_rows=f"""
             SELECT * FROM (
                 SELECT series_id, date, price_b, price_c, CAST(month(date) AS DOUBLE) AS month,
@@ -594,7 +691,7 @@ def spearman_rank(v):
         features.target_columns(horizons=(7,)),
     )
     out = relevance.spearman(
-        rounded(table, price_b_ma30d=6), _SPEARMAN_FEATURES, "target_h7d", ["series_id", "date"], top_n=5
+        rounded(table, price_b_ma30d=6), _SPEARMAN_FEATURES, "target_h7d", ["series_id", "date"]
     )
     return rounded(out, rho=6, p_value=6, abs_rho=6)
 

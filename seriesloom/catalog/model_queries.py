@@ -140,10 +140,10 @@ def permutation_importance(v):
     return training.permutation_importance(df, model, TARGET, ["series_id", "date"])
 
 
-def _naive(v, prediction=F.col("baseline_ma7")):
+def _naive(v, prediction="baseline_ma7"):
     return store.cut_lineage(
         v.oof.select(
-            "series_id", "date", "horizon", F.lit("ma7").alias("model"), "y_true", prediction.alias("y_pred")
+            "series_id", "date", "horizon", F.lit("ma7").alias("model"), "y_true", F.expr(prediction).alias("y_pred")
         ),
         "oof",
     )
@@ -181,7 +181,7 @@ def isotonic_calibration(v):
 )
 def isotonic_fit(v):
     """The fitted level of every whole-number forecast."""
-    rows = _naive(v, F.round("baseline_ma7"))
+    rows = _naive(v, "round(baseline_ma7)")
     keys = ["horizon"]
     blocks = monotone.isotonic_blocks(rows, keys, "y_pred", "y_true")
     asked = rows.select("horizon", F.col("y_pred").alias("x")).distinct()

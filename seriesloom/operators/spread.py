@@ -117,14 +117,31 @@ def value_range(df: DataFrame, keys: list[str], y: str = "y_true", p: str = "y_p
     )
 
 
+def hexagon(x: Column, y: Column) -> tuple[Column, Column]:
+    """Centre of the hexagon that holds a point given in cell widths.
+
+    Hexagon centres are two lattices, the second half a cell off in both directions; rows of
+    the first are sqrt(3) widths apart, so y is given in those. The nearer centre of the two
+    candidates wins, the second lattice on a tie.
+    """
+    even, odd = (F.round(x), F.round(y)), (F.floor(x) + 0.5, F.floor(y) + 0.5)
+    away = lambda c: (x - c[0]) * (x - c[0]) + 3.0 * (y - c[1]) * (y - c[1])
+    nearer = away(even) < away(odd)
+    return tuple(F.when(nearer, e.cast("double")).otherwise(o) for e, o in zip(even, odd, strict=True))
+
+
 def density_grid(
     df: DataFrame,
     keys: list[str],
     y: str = "y_true",
     p: str = "y_pred",
     cells: int = DENSITY_CELLS,
+    shape: str = "square",
 ) -> DataFrame:
-    """Log count of (actual, predicted) on a grid of square cells; empty cells are absent."""
+    """Log count of (actual, predicted) on a grid of cells; empty cells are absent.
+
+    Square cells have whole numbers, hexagons the place of their centre in cell widths.
+    """
     both = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
     limits = cut_lineage(
         both.groupBy(*keys).agg(
@@ -132,13 +149,20 @@ def density_grid(
         ),
         "limits",
     )
+    if shape == "hexagon":
+        place = lambda c, lo, hi, n: F.coalesce(
+            F.try_divide(F.col(c) - F.col(lo), F.col(hi) - F.col(lo)) * n, F.lit(0.0)
+        )
+        # Regular hexagons on a square plot: rows are sqrt(3) cell widths apart.
+        cell_x, cell_y = hexagon(place(y, "_y0", "_y1", cells), place(p, "_p0", "_p1", int(cells / 3**0.5)))
+    elif shape == "square":
+        cell_x = equal_width_bin(F.col(y), F.col("_y0"), F.col("_y1"), cells)
+        cell_y = equal_width_bin(F.col(p), F.col("_p0"), F.col("_p1"), cells)
+    else:
+        raise ValueError(f"unknown shape of cells: {shape}")
     return (
         attach(both, limits, keys)
-        .groupBy(
-            *keys,
-            equal_width_bin(F.col(y), F.col("_y0"), F.col("_y1"), cells).alias("cell_x"),
-            equal_width_bin(F.col(p), F.col("_p0"), F.col("_p1"), cells).alias("cell_y"),
-        )
+        .groupBy(*keys, cell_x.alias("cell_x"), cell_y.alias("cell_y"))
         .agg(F.count(F.lit(1)).alias("n"), F.log10(F.count(F.lit(1))).alias("log_n"))
     )
 

@@ -1,6 +1,8 @@
 import datetime as dt
+import math
 from statistics import NormalDist
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,11 +77,34 @@ def test_probit_and_tail(spark):
         assert t == pytest.approx(2 * exact.cdf(-abs(z)), rel=1e-6)
 
 
+def student_tail(rho, n):
+    """Two-sided tail of the t distribution by the midpoint rule over the angle: with
+    t = sqrt(v) tan(u) the density is cos(u)^(v - 1)."""
+    v = n - 2
+    edge = math.atan(abs(rho) / math.sqrt(1 - rho * rho))
+    width = min(math.pi / 2, 12 / math.sqrt(v))
+
+    def area(low, high, steps=200_000):
+        u = low + (np.arange(steps) + 0.5) * (high - low) / steps
+        return np.exp((v - 1) * np.log(np.cos(u))).sum() * (high - low) / steps
+
+    if edge >= width:
+        return 0.0
+    return area(edge, width) / area(0.0, width)
+
+
 def test_correlation_p_value(spark):
-    df = spark.createDataFrame([(0.1, 400), (0.0, 100), (1.0, 50), (0.3, 30)], "r double, n int")
+    rows = [(0.0, 10), (0.5, 3), (-0.999, 3), (0.1, 4), (0.9, 4), (0.3, 12), (0.7, 30), (0.72, 30), (-0.2, 100),
+            (0.05, 1000), (0.02, 100_000), (0.003, 1_000_000), (0.9, 1_000_000), (0.5, 57), (0.7072, 40)]
+    df = spark.createDataFrame(rows, "r double, n long")
     got = [r[0] for r in df.select(normal.correlation_p_value(F.col("r"), F.col("n"))).collect()]
-    # Reference values of the t distribution.
-    assert got[0] == pytest.approx(0.04556, abs=2e-4)
-    assert got[1] == pytest.approx(1.0, abs=1e-6)
-    assert got[2] == 0.0
-    assert got[3] == pytest.approx(0.1073, abs=2e-3)
+    assert got == pytest.approx([student_tail(*r) for r in rows], abs=1e-9)
+    # Closed forms of one and two degrees of freedom.
+    assert got[1] == pytest.approx(1 - 2 / math.pi * math.atan(0.5 / math.sqrt(0.75)), abs=1e-12)
+    assert got[3] == pytest.approx(1 - 0.1, abs=1e-12)
+    edge = spark.createDataFrame([(1.0, 5), (-1.0, 9), (0.4, 2), (None, 9)], "r double, n long")
+    assert [r[0] for r in edge.select(normal.correlation_p_value(F.col("r"), F.col("n"))).collect()] == [0.0, 0.0, None, None]
+    # Values of published tables.
+    known = spark.createDataFrame([(0.1, 400), (0.0, 100), (0.3, 30)], "r double, n int")
+    got = [r[0] for r in known.select(normal.correlation_p_value(F.col("r"), F.col("n"))).collect()]
+    assert got == pytest.approx([0.04556, 1.0, 0.1073], abs=2e-4)
