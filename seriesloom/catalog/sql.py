@@ -205,8 +205,3 @@ def with_ctes(body: str, **extra: str) -> str:
         return body
     parts = ",\n".join(f"{n} AS ({known[n].strip()})" for n in needed)
     return f"WITH {parts}\n{body.strip()}"
-
-
-def daily_of(name: str) -> str:
-    """Shared window of the daily tables."""
-    return f"WINDOW {name} AS (PARTITION BY series_id ORDER BY date)"

@@ -55,7 +55,7 @@ def fill_calendar(
     `how` is CARRY (the row's values, NULL included, hold until the next row) or INTERPOLATE
     (linear by day, the last value repeats after the last row), or a column yielding one of
     the two per row. Days before the first row are NULL. `max_gap` leaves only the first
-    so many missing days of a gap filled.
+    so many missing days of a gap filled. Two rows of one key and day are an error.
     """
     values = [value] if isinstance(value, str) else list(value)
     mode = F.lit(how) if isinstance(how, str) else how
@@ -71,7 +71,8 @@ def fill_calendar(
         *[F.col(v) for v in values],
         *[F.lead(v).over(by_date).alias(f"_next_{v}") for v in values],
     )
-    until = F.coalesce(F.date_sub("_next", 1), last_day)
+    again = F.raise_error(F.lit("two rows of one series and day: remove duplicates first")).cast("date")
+    until = F.when(F.col("_next") == F.col("_from"), again).otherwise(F.coalesce(F.date_sub("_next", 1), last_day))
     # Rows that end before the calendar emit nothing; the first row also emits the lead-in.
     since = F.when(F.col("_first"), first_day).otherwise(F.greatest(F.col("_from"), first_day))
     dense = sparse.where(until >= first_day).select(
@@ -190,13 +191,6 @@ def interpolate_columns(
     return marked.select(*out)
 
 
-def month_spine(df: DataFrame, keys: list[str], month: str = "month") -> DataFrame:
-    """Every month between the first and last month of each series."""
-    return df.groupBy(*keys).agg(F.min(month).alias("_lo"), F.max(month).alias("_hi")).select(
-        *keys, F.explode(F.sequence("_lo", "_hi", F.expr("interval 1 month"))).alias(month)
-    )
-
-
 def monthly_first(
     df: DataFrame, value: str, keys: list[str] | None = None, date: str = "date"
 ) -> DataFrame:

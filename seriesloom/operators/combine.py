@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def only_value(value: Column, what: str) -> Column:
+    """The one known value of a group; a second one is an error, not a choice."""
+    several = F.raise_error(F.lit(f"several rows of one key hold a value of {what}: remove duplicates first"))
+    return F.when(F.count(value) > 1, several).otherwise(F.max(value))
+
+
 def join_sources(frames: list[DataFrame], keys: list[str] | None = None) -> DataFrame:
     """Full outer join of any number of tables with one row per key.
 
     Written as union and aggregate: with unique keys that is the same table, and it takes
     one shuffle for all sources where a chain of full joins takes one per source, each on
     the coalesced keys of the previous one. A column name found in several sources is taken
-    from the first. The inputs must be unique by key (`tidy.dedupe_first`).
+    from the first. The inputs must be unique by key (`tidy.dedupe_first`); two known values
+    of one key are an error.
     """
     if not frames:
         raise ValueError("no source was selected")
@@ -26,7 +33,7 @@ def join_sources(frames: list[DataFrame], keys: list[str] | None = None) -> Data
         taken += own
         parts.append(frame.select(*by, *own))
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return stacked.groupBy(*by).agg(*[F.max(c).alias(c) for c in taken])
+    return stacked.groupBy(*by).agg(*[only_value(F.col(c), c).alias(c) for c in taken])
 
 
 def long_to_wide(
@@ -36,10 +43,11 @@ def long_to_wide(
     name: str = "variable",
     value: str = "value",
 ) -> DataFrame:
-    """One column per name of a fixed list; the long table is unique by (keys, name)."""
+    """One column per name of a fixed list; the long table is unique by (keys, name), and two
+    known values of one cell are an error."""
     by = keys or ["series_id", "date"]
     return df.groupBy(*by).agg(
-        *[F.max(F.when(F.col(name) == n, F.col(value))).alias(n) for n in names]
+        *[only_value(F.when(F.col(name) == n, F.col(value)), n).alias(n) for n in names]
     )
 
 

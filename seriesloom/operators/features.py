@@ -152,8 +152,3 @@ def feature_names(
         for c in columns
         if c != price and c not in keys and not any(part in c for part in excluded)
     ]
-
-
-def price_names(columns: list[str]) -> list[str]:
-    return [c for c in columns if c.startswith("price_") and not c.endswith("_nominal")
-            and not c.endswith("_index")]

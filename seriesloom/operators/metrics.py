@@ -88,19 +88,19 @@ def metrics_crosstab(
 
 
 def seasonal_error(
-    df: DataFrame, y: str = "y_true", p: str = "y_pred", date: str = "date"
+    df: DataFrame, y: str = "y_true", p: str = "y_pred", date: str = "date", keys: list[str] | None = None
 ) -> DataFrame:
-    """Mean absolute and percent error by calendar month; all twelve months are present."""
+    """Mean absolute and percent error by calendar month, per key; all twelve months are present."""
+    by = keys or []
     error = F.abs(F.col(y) - F.col(p))
-    monthly = df.groupBy(F.month(date).alias("month")).agg(
+    monthly = df.groupBy(*by, F.month(date).alias("month")).agg(
         F.avg(error).alias("abs_error"),
         F.avg(error / (F.abs(y) + PERCENT_EPSILON) * 100).alias("pct_error"),
     )
-    months = df.sparkSession.range(1).select(
-        F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month")
-    )
-    return months.join(monthly, "month", "left").select(
-        "month", month_label(F.col("month")).alias("label"), "abs_error", "pct_error"
+    groups = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    months = groups.select("*", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
+    return months.join(monthly, [*by, "month"], "left").select(
+        *by, "month", month_label(F.col("month")).alias("label"), "abs_error", "pct_error"
     )
 
 

@@ -273,7 +273,3 @@ def dataset_extent(df: DataFrame, date: str = "date", series: str = "series_id")
 def preview(df: DataFrame, n: int = 10, keys: tuple[str, ...] = ("series_id", "date")) -> DataFrame:
     """First rows in key order; a bounded top-k, not a full sort."""
     return df.orderBy(*keys).limit(n)
-
-
-def any_missing(columns: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.operators.calendar import (
@@ -18,8 +19,9 @@ from seriesloom.operators.calendar import (
     publication_lag,
 )
 from seriesloom.operators.combine import long_to_wide, share_by_date
-from seriesloom.operators.tidy import deflate, domain_bounds, holdout_split
+from seriesloom.operators.tidy import dedupe_first, deflate, domain_bounds, holdout_split
 from seriesloom.settings import (
+    DOMAIN_BOUNDS,
     HOLDOUT_CUTOFF,
     INDEX_COLUMN,
     LAGGED_COLUMNS,
@@ -36,18 +38,23 @@ class Source:
     """Sparse observations of some variables.
 
     `frame` is wide: `date`, one column per variable, and `series_id` unless the variables
-    are shared by all series. `fill` says how days between observations are filled.
+    are shared by all series. `fill` says how days between observations are filled. With
+    several rows of a series and day the first by the column `order` counts; without such a
+    column they are an error.
     """
 
     frame: DataFrame
     variables: tuple[str, ...]
     fill: str = CARRY
     shared: bool = False
+    order: str | None = None
 
 
 def _observations(source: Source, start: str, end: str, series: str) -> DataFrame:
     """Long rows `(series, variable, date, value, fill)` inside the calendar."""
     keyed = source.frame.withColumn(series, F.lit("")) if source.shared else source.frame
+    if source.order is not None:
+        keyed = dedupe_first(keyed.select(series, "date", *source.variables, source.order), [series, "date"], source.order)
     rows = keyed.where(F.col("date").between(day(start), day(end))).unpivot(
         [series, "date"], list(source.variables), "variable", "value"
     )
@@ -121,6 +128,10 @@ def build_dataset(
     # along under another name until the prices are deflated.
     common = daily_panel(shared, start, end).drop("series_id")
     columns = [c for c in lagged if c in common.columns]
+    own_lagged = [c for c in lagged if c in panel.columns]
+    own_index = index in panel.columns
+    if deflate_prices and not own_index and index not in common.columns:
+        raise KeyError(f"column '{index}' is needed to deflate prices")
     deflator = "_deflator"
     lagged_common = publication_lag(
         common.withColumn("_all", F.lit("")).withColumn(
@@ -131,12 +142,13 @@ def build_dataset(
         series="_all",
     ).drop("_all")
     merged = share_by_date(panel, lagged_common)
+    # An index of each series goes before a shared one. Its own lag follows the deflation,
+    # or precedes it when the deflator is to be lagged too.
+    if own_lagged and lag_deflator:
+        merged = publication_lag(merged, own_lagged, lag_months)
     if deflate_prices:
-        if index not in common.columns:
-            raise KeyError(f"column '{index}' is needed to deflate prices")
-        merged = deflate(merged, list(prices), index if lag_deflator else deflator)
-    own_lagged = [c for c in lagged if c in panel.columns]
-    if own_lagged:
+        merged = deflate(merged, list(prices), index if own_index or lag_deflator else deflator)
+    if own_lagged and not lag_deflator:
         merged = publication_lag(merged, own_lagged, lag_months)
     return merged.drop(deflator)
 
@@ -151,9 +163,69 @@ def clean(
 ) -> tuple[DataFrame, DataFrame]:
     """Bounds, gap filling and holdout split: `(training rows, holdout rows)`.
 
-    The input has one row per (series, date), as `build_dataset` makes it. The reports of
-    missing values and prices are separate operators (`tidy.missing_report`, `price_stats`).
+    The input has one row per (series, date), as `build_dataset` makes it. `clean_report`
+    adds the reports of the step.
     """
     filled = interpolate_columns(domain_bounds(df, bounds), columns, max_gap)
     train, holdout = holdout_split(filled, cutoff)
     return (train if exclude_holdout else filled), holdout
+
+
+@dataclass(frozen=True)
+class CleanReport:
+    """What a cleaning run saw: rows, values outside the bounds, missing values before and
+    after, and the extremes and means of the prices, per column."""
+
+    before: dict
+    after: dict
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """One row per column: n_below, n_above, n_missing_before, n_missing, pct_missing, and
+        min_value, max_value, mean_value of prices."""
+        names = [k.removeprefix("missing_") for k in self.before if k.startswith("missing_")]
+        rows = []
+        for c in names:
+            n, gone = self.after["n_rows"], self.after[f"missing_{c}"]
+            rows.append((
+                c, self.before.get(f"below_{c}"), self.before.get(f"above_{c}"), self.before[f"missing_{c}"], gone,
+                round(gone / n * 100, 2) if n else None,
+                *(self.after.get(f"{part}_{c}") for part in ("min", "max", "mean")),
+            ))
+        return spark.createDataFrame(
+            rows,
+            "column_name string, n_below long, n_above long, n_missing_before long, n_missing long, pct_missing double, "
+            "min_value double, max_value double, mean_value double",
+        )
+
+
+def clean_and_write(
+    df: DataFrame,
+    columns: list[str],
+    write: Callable[[DataFrame], None],
+    max_gap: int = MAX_GAP_DAYS,
+    bounds: dict[str, tuple[float, float]] | None = None,
+    prices: tuple[str, ...] = PRICE_COLUMNS,
+) -> CleanReport:
+    """Bounds and gap filling, written by `write`, with the reports of the step.
+
+    The counts are observed metrics of the pass that writes the rows: there is no further
+    scan, whatever the number of reports.
+    """
+    limits = DOMAIN_BOUNDS if bounds is None else bounds
+    limited = [c for c in df.columns if c in limits]
+    missing = [F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in columns]
+    priced = [c for c in prices if c in columns]
+    before, after = Observation(), Observation()
+    seen = df.observe(
+        before, F.count(F.lit(1)).alias("n_rows"), *missing,
+        *[F.count_if(F.col(c) < limits[c][0]).alias(f"below_{c}") for c in limited],
+        *[F.count_if(F.col(c) > limits[c][1]).alias(f"above_{c}") for c in limited],
+    )
+    filled = interpolate_columns(domain_bounds(seen, bounds), columns, max_gap)
+    write(
+        filled.observe(
+            after, F.count(F.lit(1)).alias("n_rows"), *missing,
+            *[e(c).alias(f"{name}_{c}") for name, e in (("min", F.min), ("max", F.max), ("mean", F.avg)) for c in priced],
+        )
+    )
+    return CleanReport(before.get, after.get)

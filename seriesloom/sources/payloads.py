@@ -24,12 +24,19 @@ INFLATION_SCHEMA = "array<struct<data:string,valor:string>>"
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """One row per landed response file."""
-    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "payload")
+    """One row per landed response file, with its path as `source`: the order of the files."""
+    return spark.read.text(path, wholetext=True).select(
+        F.col("value").alias("payload"), F.col("_metadata.file_path").alias("source")
+    )
+
+
+def _source(payloads: DataFrame):
+    """The response's place among the responses; one place for payloads without a source."""
+    return (F.col("source") if "source" in payloads.columns else F.lit("")).alias("source")
 
 
 def quarterly_rows(payloads: DataFrame) -> DataFrame:
-    """Raw statistics records `(position, period, ordinal, variable, value_text)`.
+    """Raw statistics records `(source, position, period, ordinal, variable, value_text)`.
 
     The first object of a response is a header, its value is no number, so the number
     filter removes it. A response with no record besides the header is an error.
@@ -39,7 +46,8 @@ def quarterly_rows(payloads: DataFrame) -> DataFrame:
         F.coalesce(F.size(records), F.lit(0)) < 2,
         F.raise_error(F.lit("statistics response is empty or invalid")).cast(QUARTERLY_SCHEMA),
     ).otherwise(records)
-    return payloads.select(F.posexplode(checked).alias("position", "r")).select(
+    return payloads.select(_source(payloads), F.posexplode(checked).alias("position", "r")).select(
+        "source",
         "position",
         F.col("r.D3C").alias("period"),
         F.coalesce("r.D4N", F.lit(DEFAULT_ORDINAL)).alias("ordinal"),
@@ -58,8 +66,9 @@ def numeric_rows(rows: DataFrame, text: str = "value_text", value: str = "value"
 
 
 def parse_quarterly(payloads: DataFrame) -> DataFrame:
-    """Monthly statistics `(position, month, period, ordinal, variable, value)`."""
+    """Monthly statistics `(source, position, month, period, ordinal, variable, value)`."""
     return numeric_rows(quarterly_rows(payloads)).select(
+        "source",
         "position",
         quarter_month(F.col("period"), F.col("ordinal")).alias("month"),
         "period",
@@ -84,16 +93,17 @@ def canonical_label(label: str = "variable"):
 def pivot_quarterly(
     records: DataFrame,
     variables: tuple[str, ...] = tuple(LABEL_KEYWORDS),
-    order: str = "position",
+    order: tuple[str, ...] = ("source", "position"),
 ) -> DataFrame:
-    """One column per variable and the first value per month, "first" by `order`.
+    """One column per variable and the first value per month, "first" by `order`: by the
+    response's file, then by the place in it. Equal places take the smaller value.
 
     Labels are renamed before the pivot, so two labels with one name share a column. The
     variables are a fixed list: no extra pass to find the pivot values.
     """
     named = records.withColumn("variable", canonical_label())
     firsts = [
-        F.min_by("value", F.when(F.col("variable") == v, F.col(order))).alias(v)
+        F.min_by("value", F.when(F.col("variable") == v, F.struct(*order, "value"))).alias(v)
         for v in variables
     ]
     return named.where(F.col("variable").isin(*variables)).groupBy("month").agg(*firsts)

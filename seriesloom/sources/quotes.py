@@ -17,13 +17,20 @@ SHEET_SCHEMA = T.StructType(
 )
 
 
-def read_quote_sheet(spark: SparkSession, path: str, separator: str = ";") -> DataFrame:
-    """Raw first two columns of every sheet below `path`; further columns are not read."""
-    return (
-        spark.read.schema(SHEET_SCHEMA)
-        .option("sep", separator)
-        .option("mode", "PERMISSIVE")
-        .csv(path)
+def read_quote_sheet(spark: SparkSession, path: str, separator: str = ";", placed: bool = False) -> DataFrame:
+    """Raw first two columns of every sheet below `path`; further columns are not read.
+
+    `placed` adds the sheet's path as `source` and the line's `place` in it, which together
+    order duplicates.
+    """
+    lines = spark.read.schema(SHEET_SCHEMA).option("sep", separator).option("mode", "PERMISSIVE").csv(path)
+    if not placed:
+        return lines
+    # Sheets are read whole or in blocks from their start; ids rise inside a block, and blocks
+    # of one file are ordered by where they start.
+    return lines.select(
+        "date_text", "value_text", F.col("_metadata.file_path").alias("source"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("place"),
     )
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -24,18 +24,65 @@ def write_panel(df: DataFrame, path: str, keys: tuple[str, ...] = ("series_id",
     out.write.mode("overwrite").parquet(path)
 
 
+POINTER = "current.txt"
+
+
+def _pointer(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{POINTER}")
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def published(spark: SparkSession, path: str) -> str | None:
+    """Folder of the version that the cache at `path` points to; None without one."""
+    files, place = _pointer(spark, path)
+    if not files.exists(place):
+        return None
+    name = spark.read.text(place.toString()).first()[0]
+    return f"{path.rstrip('/')}/{name}"
+
+
+def publish(df: DataFrame, path: str) -> str:
+    """Write a new version below `path`, then point to it.
+
+    Readers follow the pointer, which is put in place by one rename after the write has
+    ended: a write that dies is never read and blocks nothing. Readers of the version before
+    keep their files; the one before that is deleted.
+    """
+    spark = df.sparkSession
+    files, place = _pointer(spark, path)
+    jvm = spark.sparkContext._jvm
+    version = f"v-{uuid.uuid4().hex}"
+    folder = f"{path.rstrip('/')}/{version}"
+    before = published(spark, path)
+    write_panel(df, folder)
+    fresh = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{POINTER}-{version}")
+    out = files.create(fresh, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    files.delete(place, False)
+    files.rename(fresh, place)
+    for status in files.listStatus(place.getParent()):
+        old = status.getPath()
+        if old.getName().startswith("v-") and old.getName() not in (version, (before or "").rsplit("/", 1)[-1]):
+            files.delete(old, True)
+    return folder
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    folder = published(spark, path)
+    if folder is None:
+        raise FileNotFoundError(f"no published table at {path}")
+    return spark.read.parquet(folder)
+
+
 def cached_table(
     spark: SparkSession, path: str, compute: Callable[[], DataFrame], use_cache: bool = True
 ) -> DataFrame:
-    """Read the table at `path`; compute and write it when absent or not wanted."""
-    if use_cache:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-    write_panel(compute(), path)
-    return spark.read.parquet(path)
+    """Read the table published at `path`; compute and publish it when absent or not wanted."""
+    if not use_cache or published(spark, path) is None:
+        publish(compute(), path)
+    return read_published(spark, path)
 
 
 def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:

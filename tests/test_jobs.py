@@ -58,6 +58,30 @@ def test_jobs(spark, sources, settings):
     for h, part in means.groupby("horizon"):
         assert best.loc[h, "mape"] == part["mape"].min()
     assert spark.read.option("header", True).csv(settings.path("reports/metrics_mean")).count() == 8
+    models = {"boosted", "forest", "baseline", "persistence"}
+    for name, rows in (("seasonal_error", 12), ("residual_histogram", 30), ("residual_normal", 100), ("qq_line", 1)):
+        found = tables[name].toPandas()
+        assert {(h, m) for h in (1, 7) for m in models} == set(zip(found["horizon"], found["model"]))
+        assert len(found) == 8 * rows
+    errors = (oof["y_true"] - oof["pred_forest"])[oof["horizon"] == 7]
+    line = tables["residual_normal"].where("horizon = 7 and model = 'forest'").first()
+    assert line["mean"] == pytest.approx(errors.mean()) and line["std"] == pytest.approx(errors.std(ddof=0))
+    assert tables["folds"].count() == 2 and set(tables["feature_importance"].toPandas()["model"]) == {"boosted", "forest"}
+    versus = tables["forecast_vs_actual"].where("model = 'forest'").toPandas()
+    assert versus["h7"].notna().sum() == (oof["horizon"] == 7).sum() and versus["actual"].notna().any()
+
+    report = {r["column_name"]: r for r in spark.read.option("header", True).csv(settings.path("clean")).collect()}
+    assert set(report) >= {"price_a", "price_index"} and int(report["price_a"]["n_missing"]) == 0
+
+    after = jobs.calibrate_job(spark, settings)
+    verdict = after["verdict"].toPandas()
+    assert len(verdict) == 4 and set(verdict["status"]) <= {"ok", "degradou"}
+    rmse = lambda name: after[name].toPandas().set_index(["horizon", "model"])["rmse"]
+    assert (rmse("metrics_after") <= rmse("metrics_before") + 1e-9).all()
+
+    relevance = jobs.validate_job(spark, settings, repeats=2)
+    assert set(relevance["spearman"].toPandas()["horizon"]) == {1, 7}
+    assert relevance["permutation"].select("horizon", "model").distinct().count() == 4
 
     forecasts = jobs.predict_job(spark, settings).toPandas()
     assert len(forecasts) == 4 and (forecasts["as_of_date"] == day(209)).all()

@@ -1,10 +1,11 @@
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from seriesloom.session import scratch_dir
+from seriesloom.session import scratch_dir, scratch_scope
 from seriesloom.sources import grid, payloads, quotes, store
 from tests.helpers import day
 
@@ -101,6 +102,56 @@ def test_cache_reads_what_it_wrote(spark, tmp_path):
     assert len(calls) == 2
 
 
+def test_cache_survives_a_dead_write(spark, tmp_path):
+    """A write that died leaves files without a pointer: they are neither read nor in the way."""
+    path = str(tmp_path / "cache")
+    row = lambda v: spark.createDataFrame([("s", day(0), v)], "series_id string, date date, v double")
+    row(99.0).write.parquet(f"{path}/v-dead")
+    assert store.published(spark, path) is None
+    assert store.cached_table(spark, path, lambda: row(1.0)).first()["v"] == 1.0
+    first = store.published(spark, path)
+
+    def dies():
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        store.cached_table(spark, path, dies, use_cache=False)
+    assert store.published(spark, path) == first
+    old = spark.read.parquet(first)
+    assert store.cached_table(spark, path, lambda: row(2.0), use_cache=False).first()["v"] == 2.0
+    assert old.first()["v"] == 1.0, "readers of the version before keep their files"
+    with pytest.raises(FileNotFoundError):
+        store.read_published(spark, str(tmp_path / "none"))
+
+
+def test_scratch_scope_deletes_what_it_held(spark):
+    with scratch_scope(spark, "job") as folder:
+        out = store.cut_lineage(spark.range(3), "t")
+        assert out.inputFiles()[0].startswith(f"file://{folder.removeprefix('file:')}") and out.count() == 3
+        assert os.path.isdir(folder.removeprefix("file:"))
+    assert not os.path.exists(folder.removeprefix("file:"))
+
+
+def test_statistics_take_the_first_response(spark, tmp_path):
+    """Two responses with the same month: the first file counts, in whatever order they are read."""
+    header = QUARTERLY[0]
+    record = lambda v: {"D3C": "202001", "D4N": "No 1º mês", "D2N": "Peso total das carcaças", "V": v}
+    for name, value in (("a.json", "10"), ("b.json", "20")):
+        (tmp_path / name).write_text(json.dumps([header, record(value), record("5")], ensure_ascii=False), encoding="utf-8")
+    both = payloads.read_payloads(spark, str(tmp_path))
+    for responses in (both, both.orderBy("source"), both.orderBy(F.desc("source"))):
+        wide = payloads.pivot_quarterly(payloads.parse_quarterly(responses)).collect()
+        assert [r["weight"] for r in wide] == [10.0]
+
+
+def test_placed_quote_lines(spark, tmp_path):
+    for name, value in (("a.csv", "1,5"), ("b.csv", "2,5")):
+        (tmp_path / name).write_text(f"01/02/2020;{value}\n01/02/2020;9\n02/02/2020;3\n", encoding="utf-8")
+    rows = quotes.parse_quotes(quotes.read_quote_sheet(spark, str(tmp_path), placed=True))
+    first = rows.groupBy("date").agg(F.min_by("quote", F.struct("source", "place")).alias("quote"))
+    assert [r["quote"] for r in first.orderBy("date").collect()] == [1.5, 3.0]
+
+
 def test_csv_and_json_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", 0.1 + 0.2), ("b", None)], "k string, v double")
     store.write_csv(df, str(tmp_path / "c"))
