@@ -140,6 +140,80 @@ def permutation_importance(v):
     return training.permutation_importance(df, model, TARGET, ["series_id", "date"])
 
 
+# Keys, folds, dates, counts and actual values of the model queries: what does not depend on
+# the learner is checked by value.
+
+
+@query(
+    "walk_forward_oof_rows",
+    with_ctes(
+        """SELECT b.series_id, b.date, CAST((d.rn - 730) // d.sz + 1 AS INTEGER) AS fold, round(b.t7, 6) AS y_true
+           FROM base b JOIN (
+                SELECT date, row_number() OVER (ORDER BY date) - 1 AS rn, (count(*) OVER () - 730) // 5 AS sz
+                FROM (SELECT DISTINCT date FROM base WHERE t7 IS NOT NULL) u) d ON d.date = b.date
+           WHERE b.t7 IS NOT NULL AND d.rn >= 730 AND (d.rn - 730) // d.sz < 5"""
+    ),
+)
+def walk_forward_oof_rows(v):
+    return rounded(walk_forward_oof(v).select("series_id", "date", "fold", "y_true"), y_true=6)
+
+
+@query(
+    "tuning_log_rows",
+    """SELECT m.model, CAST(c.candidate AS INTEGER) AS candidate, TRUE AS scored, CAST(1 AS BIGINT) AS n_best
+       FROM (SELECT unnest(['boosted', 'forest']) AS model) m
+       CROSS JOIN (SELECT unnest([0, 1, 2]) AS candidate) c""",
+)
+def tuning_log_rows(v):
+    """Every candidate is logged with its scores, and one of each family is the best."""
+    log = tuning_log(v)
+    scored = (F.col("rmse") >= F.col("mae")) & (F.col("mae") > 0) & (F.col("mape") > 0)
+    best = log.groupBy("model").agg(F.count_if("best").alias("n_best"))
+    return log.select("model", "candidate", scored.alias("scored")).join(best, "model")
+
+
+@query(
+    "final_refit_rows",
+    f"""SELECT h.horizon, m.model, m.n_trees
+        FROM (SELECT CAST(unnest({list(HORIZONS)}) AS INTEGER) AS horizon) h
+        CROSS JOIN (SELECT 'boosted' AS model, CAST({QUICK[BOOSTED]["maxIter"]} AS INTEGER) AS n_trees
+                    UNION ALL SELECT 'forest', {QUICK[FOREST]["numTrees"]}) m""",
+)
+def final_refit_rows(v):
+    return final_refit(v).select("horizon", "model", "n_trees")
+
+
+@query(
+    "forecast_latest_rows",
+    with_ctes(
+        f"""SELECT d.series_id, h.horizon, d.last AS as_of_date, d.last AS feature_date,
+                   CAST(d.last + h.horizon AS DATE) AS forecast_date
+            FROM (SELECT series_id, max(date) AS last FROM daily GROUP BY series_id) d
+            CROSS JOIN (SELECT CAST(unnest({list(HORIZONS)}) AS INTEGER) AS horizon) h"""
+    ),
+)
+def forecast_latest_rows(v):
+    return forecast_latest(v).select("series_id", "horizon", "as_of_date", "feature_date", "forecast_date")
+
+
+@query(
+    "forecast_period_rows",
+    with_ctes(
+        f"""SELECT series_id, date, CAST(horizon AS INTEGER) AS horizon, round(y_true, 2) AS y_true
+            FROM (SELECT series_id, date, unnest({list(HORIZONS)}) AS horizon,
+                         unnest([{", ".join(f"t{h}" for h in HORIZONS)}]) AS y_true
+                  FROM base WHERE date BETWEEN DATE '2001-01-01' AND DATE '2001-07-31') t"""
+    ),
+)
+def forecast_period_rows(v):
+    return forecast_period(v).select("series_id", "date", "horizon", "y_true")
+
+
+@query("model_roundtrip_rows", with_ctes("SELECT series_id, date, TRUE AS equal FROM daily"))
+def model_roundtrip_rows(v):
+    return model_roundtrip(v).select("series_id", "date", "equal")
+
+
 def _naive(v, prediction="baseline_ma7"):
     return store.cut_lineage(
         v.oof.select(

@@ -200,6 +200,39 @@ def dataset(v):
     return v.dataset
 
 
+@query("build_dataset_duplicates", with_ctes(f"SELECT series_id, date, {', '.join(_DATASET)} FROM dataset"))
+def dataset_of_raw_quotes(v):
+    """The same table from raw quotes with several records a day: the first by arrival counts."""
+    raw = {
+        p: Source(
+            v.quotes.where(F.col("product") == p).withColumnRenamed("quote", p), (p,), INTERPOLATE, order="ingest_order"
+        )
+        for p in PRICE_COLUMNS
+    }
+    others = {name: source for name, source in v.sources.items() if name != "prices"}
+    return build_dataset({**raw, **others}, START, END)
+
+
+@query(
+    "clean_report",
+    with_ctes(
+        " UNION ALL ".join(
+            f"""SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} < {lo}) AS n_below,
+                       count(*) FILTER (WHERE {c} > {hi}) AS n_above,
+                       count(*) FILTER (WHERE {c} IS NULL) AS n_missing_before FROM dataset"""
+            for c, (lo, hi) in {"head_count": (700, 800), "weight": (17000, 20000)}.items()
+        )
+    ),
+)
+def clean_report(v):
+    """What the cleaning step saw, from the pass that writes its rows."""
+    bounds = {"head_count": (700.0, 800.0), "weight": (17000.0, 20000.0)}
+    path = scratch_dir(v.spark, "cleaned")
+    narrow = v.dataset.select("series_id", "date", *bounds)
+    report = clean_and_write(narrow, list(bounds), lambda df: df.write.parquet(path), bounds=bounds)
+    return report.table(v.spark).select("column_name", "n_below", "n_above", "n_missing_before")
+
+
 @query(
     "clean_dataset",
     with_ctes(
