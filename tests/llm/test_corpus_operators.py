@@ -95,7 +95,9 @@ def shingle_set(text):
     return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
 
 
-def test_near_duplicates_against_all_pairs(spark):
+@pytest.mark.parametrize("cell", [4096, 7])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, cell):
+    monkeypatch.setattr(minhash_join, "CELL", cell)
     rows = [r for r in corpus(2, 80) if r[0] is not None]
     rng = random.Random(4)
     base = prose(rng, 150).split()
@@ -104,6 +106,16 @@ def test_near_duplicates_against_all_pairs(spark):
         for _ in range(rng.randrange(6)):
             copy[rng.randrange(150)] = f"edit{i}"
         rows.append((1000 + i, " ".join(copy), None, None, 0))
+    # Two texts under one id, each with a near copy elsewhere.
+    for k, i in enumerate((2000, 2000)):
+        own = prose(rng, 90).split()
+        rows.append((i, " ".join(own), None, None, 0))
+        rows.append((2001 + k, " ".join([*own[:-1], "other"]), None, None, 0))
+    # Texts that share a passage of two thirds, in pairs of near copies.
+    passage = prose(rng, 100)
+    for i in range(40):
+        own = prose(rng, 50) if i % 2 == 0 else own + " end"
+        rows.append((3000 + i, passage + " " + own, None, None, 0))
     sets = defaultdict(list)
     for r in rows:
         sets[r[0]].append(shingle_set(r[1]))
