@@ -10,8 +10,10 @@ from seriesloom.catalog.registry import query, rounded
 from seriesloom.catalog.sql import BASE_MONTH, END, START, with_ctes
 from seriesloom.functions.dates import calendar_parts, month_start
 from seriesloom.operators import calendar, combine, features, tidy
-from seriesloom.plans.dataset import clean
+from seriesloom.operators.calendar import INTERPOLATE
+from seriesloom.plans.dataset import Source, build_dataset, clean, clean_and_write
 from seriesloom.plans.reports import daily_sentiment, exchange_ratio, slaughter_vs_price
+from seriesloom.session import scratch_dir
 from seriesloom.settings import (
     CHANGE_DAYS,
     FEATURE_COLUMNS,
