@@ -58,7 +58,7 @@ def op1_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_repeat_index")
 def op2_repeat_index(spark: SparkSession, folder: str) -> DataFrame:
     kept = repeat_index.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "n_shared", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
 @query("op3_minhash_join")

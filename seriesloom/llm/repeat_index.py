@@ -40,6 +40,9 @@ BUCKET = 6_000
 HOT = 60_000
 #: Bytes of text that a task hashes at a time (one longer text is taken whole).
 CHUNK = 1 << 21
+#: Anchors that hold more than this many rows, or this share of all, are joined apart.
+HEAVY = 1 << 14
+HEAVY_KEYS = 100_000
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -53,6 +56,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
+def sample_of(length: int, anchor: int) -> int:
+    """Bytes of the shortest string that always holds an anchor: 256 for windows of 400."""
+    return max(anchor, length * 16 // 25)
+
+
 class _Hasher:
     """Hashes of any part of a byte string, from its running sums."""
 
@@ -70,34 +78,57 @@ class _Hasher:
         return scramble((sums[end] - sums[start]) * self.down[start])
 
 
-def find_anchors(hasher: _Hasher, body: np.ndarray, at: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
-    """Arrays (text, anchor hash, place, first start, last start, region hash), places within the text."""
-    if len(body) < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
-    sums = hasher.read(body)
-    n = len(body) - anchor + 1
-    grams = scramble((sums[anchor:] - sums[:-anchor]) * hasher.down[:n])
-    least = (grams & ~_PLACE) | np.arange(n, dtype=np.uint64)
-    width, span = length - anchor + 1, 1
+def _least(grams: np.ndarray, width: int) -> np.ndarray:
+    """The least gram of every `width` neighbours, with its place in the low bits."""
+    least, span = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), 1
     while span * 2 <= width:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     if width > span:
         least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
+    return least
+
+
+def _owners(grams: np.ndarray, at: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """(text, place, first start, last start) of the anchors of all `length`-byte windows."""
     # Window starts whose window ends inside the same text.
     room = np.maximum(np.diff(at) - length + 1, 0)
     text = np.repeat(np.arange(len(room)), room)
+    if not len(text):
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
     starts = np.arange(len(text)) - np.repeat(np.cumsum(room) - room, room) + at[:-1][text]
-    if not len(starts):
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
-    place = (least[starts] & _PLACE).astype(np.int64)
-    new = np.append(True, (np.diff(place) != 0) | (np.diff(text) != 0))
-    first = np.flatnonzero(new)
+    place = (_least(grams, length - anchor + 1)[starts] & _PLACE).astype(np.int64)
+    first = np.flatnonzero(np.append(True, (np.diff(place) != 0) | (np.diff(text) != 0)))
     last = np.append(first[1:], len(starts)) - 1
-    p, lo, hi, text = place[first], starts[first], starts[last], text[first]
+    return text[first], place[first], starts[first], starts[last]
+
+
+def find_anchors(
+    hasher: _Hasher, body: np.ndarray, at: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR, sample: int | None = None
+):
+    """Arrays (text, anchor hash, place, first start, last start, region hash), places within the text.
+
+    Anchors of `sample`-byte windows that own no `length`-byte window have first start -1.
+    """
+    if len(body) > int(_PLACE):
+        raise ValueError(f"a text of {len(body)} bytes is longer than {int(_PLACE)}")
+    sample = sample_of(length, anchor) if sample is None else sample
+    if len(body) < sample:
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
+    sums = hasher.read(body)
+    grams = scramble((sums[anchor:] - sums[:-anchor]) * hasher.down[: len(body) - anchor + 1])
+    text, p, lo, hi = _owners(grams, at, length, anchor)
     region = hasher.part(sums, lo, hi + length) ^ scramble(((p - lo) << 20 | (hi - lo)).astype(np.uint64))
+    more_text, more, _, _ = _owners(grams, at, sample, anchor)
+    new = ~np.isin(more, p)
+    none = np.full(int(new.sum()), -1)
     begin = at[:-1][text]
-    return text, grams[p].view(np.int64), p - begin, lo - begin, hi - begin, region.view(np.int64)
+    places = np.append(p, more[new])
+    texts = np.append(text, more_text[new])
+    return (
+        texts, grams[places].view(np.int64), places - at[:-1][texts], np.append(lo - begin, none),
+        np.append(hi - begin, none), np.append(region.view(np.int64), np.zeros(len(none), np.int64)),
+    )
 
 
 def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -115,7 +146,7 @@ ANCHORS = "key long, a long, p int, lo int, hi int, r long"
 
 
 def anchors(docs: DataFrame, length: int, anchor: int) -> DataFrame:
-    """One row per anchor occurrence of `docs` (key, text)."""
+    """One row per anchor occurrence of `docs` (key, text); without region where it owns no window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
@@ -123,9 +154,10 @@ def anchors(docs: DataFrame, length: int, anchor: int) -> DataFrame:
             for part in _chunks(batch, 1):
                 text, a, p, lo, hi, r = find_anchors(hasher, *text_bytes(part.column(1)), length, anchor)
                 keys = part.column(0).to_numpy(zero_copy_only=False)[text] if len(text) else np.zeros(0, np.int64)
+                none = lo < 0
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys, pa.int64()), pa.array(a, pa.int64()), pa.array(p, pa.int32()),
-                     pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(r, pa.int64())],
+                     pa.array(lo, pa.int32(), mask=none), pa.array(hi, pa.int32(), mask=none), pa.array(r, pa.int64(), mask=none)],
                     names=["key", "a", "p", "lo", "hi", "r"],
                 )
 
@@ -241,15 +273,33 @@ def _window_counts(bodies: DataFrame, length: int) -> DataFrame:
     return windows.join(often, ["a", "d", "w"]).select("a", "r", F.col("d").alias("from_d"), F.col("d").alias("to_d"))
 
 
+def _heavy(sizes: DataFrame, total: int, size: str, on: list[str]) -> DataFrame:
+    """Keys that hold more than HEAVY rows and more than one row of HEAVY_KEYS: at most HEAVY_KEYS keys."""
+    return sizes.where(F.col(size) > max(HEAVY, total // HEAVY_KEYS)).select(*on)
+
+
+def _spread_join(left: DataFrame, right: DataFrame, on: list[str], heavy: DataFrame) -> DataFrame:
+    """Inner join with one row of `right` per key; rows of heavy keys stay where they are."""
+    if heavy.isEmpty():
+        return left.join(right, on)
+    few = F.broadcast(heavy)
+    rest = left.join(few, on, "left_anti").join(right, on)
+    return rest.unionByName(left.join(F.broadcast(right.join(few, on, "left_semi")), on))
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
-    """`key` and `spans`: the byte ranges [from, to) of repeated windows of `docs` (key, text)."""
+    """For `docs` (key, text): `spans`, the byte ranges [from, to) of repeated windows, and `n_shared`,
+    the number of anchors that start elsewhere too. Keys with neither have no row."""
     found = written(anchors(docs, length, anchor), "repeat-anchors")
-    twice = found.groupBy("a").agg(
-        F.count("*").alias("n"), (F.min("r") != F.max("r")).alias("several")
-    ).where("n > 1").drop("n")
-    live = written(found.join(twice, "a"), "repeat-live")
+    total = found.count()
+    twice = written(
+        found.groupBy("a").agg(F.count("*").alias("n"), F.coalesce(F.min("r") != F.max("r"), F.lit(False)).alias("several")).where("n > 1"),
+        "repeat-twice",
+    )
+    live = written(_spread_join(found, twice.drop("n"), ["a"], _heavy(twice, total, "n", ["a"])), "repeat-live")
+    owning = live.where("r is not null")
     regions = written(
-        live.groupBy("a", "r").agg(
+        owning.groupBy("a", "r").agg(
             F.count("*").alias("n"), F.first("several").alias("several"), F.min(F.struct("key", "p", "lo", "hi")).alias("rep")
         ),
         "repeat-regions",
@@ -261,17 +311,24 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, bucket:
     kinds = open_.groupBy("a").agg(F.count("*").alias("kinds"))
     n_open = open_.count()
     bodies = written(_bodies(docs, open_, length), "repeat-bodies")
-    sized = bodies.join(kinds, "a")
+    sized = _spread_join(bodies, kinds, ["a"], _heavy(kinds, n_open, "kinds", ["a"]))
     n_buckets = max(1, math.ceil(n_open / bucket))
     cold = sized.where(F.col("kinds") <= hot).withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(n_buckets)).cast("int"))
     marks = cold.groupBy("bucket").applyInPandas(_index_bucket(length, anchor), MARKS)
     if not kinds.where(F.col("kinds") > hot).isEmpty():
         marks = marks.union(_window_counts(sized.where(F.col("kinds") > hot), length))
-    marks = written(whole.union(marks), "repeat-marks")
-    spans = live.select("key", "a", "r", "p").join(marks, ["a", "r"]).select(
-        "key", F.struct((F.col("p") - F.col("to_d")).alias("from"), (F.col("p") - F.col("from_d") + length).alias("to")).alias("span")
+    marks = written(
+        whole.union(marks).groupBy("a", "r").agg(F.collect_list(F.struct("from_d", "to_d")).alias("marks")), "repeat-marks"
+    )
+    shift = lambda m: F.struct((F.col("p") - m["to_d"]).alias("from"), (F.col("p") - m["from_d"] + length).alias("to"))
+    spans = _spread_join(owning.select("key", "a", "r", "p"), marks, ["a", "r"], _heavy(regions, total, "n", ["a", "r"])).select(
+        "key", F.lit(None).cast("int").alias("place"), F.transform("marks", shift).alias("spans")
+    )
+    seen = live.select("key", F.col("p").alias("place"), F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    # Equal rows share a key: sets, so that their spans are held once.
+    return spans.union(seen).groupBy("key").agg(
+        F.flatten(F.collect_set("spans")).alias("spans"), F.size(F.collect_set("place")).cast("long").alias("n_shared")
     )
-    return spans.groupBy("key").agg(F.collect_list("span").alias("spans"))
 
 
 def _merge(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -285,14 +342,18 @@ def _merge(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, **how) -> DataFrame:
-    """The documents, without the text, with n_bytes, n_removed, n_spans and `kept_bytes`.
+    """The documents, without the text, with n_bytes, n_removed, n_spans, `kept_bytes` and n_shared.
 
     Bytes covered by a `length`-byte string that starts anywhere else too, in any document,
     are removed; strings are judged on the input. Null texts are empty. Repeated rows repeat
     each other's text and so lose it, if it is long enough. An empty table gives an empty
-    result. Columns of the result's names are replaced.
+    result. Columns of the result's names are replaced. Texts above 2^28 bytes raise an error.
+
+    `n_shared` removes nothing. It counts the document's anchors (128-byte strings) that start
+    elsewhere too. Every 256-byte string holds an anchor, chosen by the string alone, so a
+    document with a passage of 256 bytes or more that occurs elsewhere has at least one.
     """
-    results = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_bytes": "binary"}
+    results = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_bytes": "binary", "n_shared": "long"}
     names = [c for c in docs.columns if c not in {*results, text}]
     # Equal rows share a key and thereby their spans.
     keyed = docs.select(
@@ -302,6 +363,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, **
     keyed = keyed.withColumn("key", F.xxhash64(*ids, "text"))
     found = repeats(keyed, length=length, **how).withColumnRenamed("key", "_key")
     joined = keyed.join(found, F.col("key") == F.col("_key"), "left").drop("key", "_key")
+    joined = joined.fillna(0, ["n_shared"])
     kept = joined.columns[: len(names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +380,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, **
                 for column, value in zip(out, (len(raw), sum(b - a for a, b in gone), len(gone), b"".join(rest)), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in kept] + [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
+                [batch.column(c) for c in kept]
+                + [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+                + [batch.column("n_shared")],
                 names=[*kept, *results],
             )
 

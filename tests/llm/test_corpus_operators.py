@@ -74,8 +74,9 @@ def repeats_by_force(texts, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("how", [{}, {"bucket": 4}, {"hot": 1}])
-def test_repeats_against_all_windows(spark, how):
+@pytest.mark.parametrize("how, heavy", [({}, 1 << 14), ({"bucket": 4}, 3), ({"hot": 1}, 3)])
+def test_repeats_against_all_windows(spark, monkeypatch, how, heavy):
+    monkeypatch.setattr(repeat_index, "HEAVY", heavy)
     rng = random.Random(9)
     passage = prose(rng, 40)
     texts = [r[1] for r in corpus()]
@@ -84,6 +85,25 @@ def test_repeats_against_all_windows(spark, how):
     rows = repeat_index.remove_repeats(docs, length=100, anchor=32, **how).collect()
     got = sorted((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept_bytes"])) for r in rows)
     assert got == repeats_by_force(texts, 100)
+    # A string of 64 bytes that starts elsewhere too shows in n_shared; without one of 32 bytes it is 0.
+    shared = sorted((r["n_bytes"], r["n_shared"]) for r in rows)
+    wide, narrow = repeats_by_force(texts, 64), repeats_by_force(texts, 32)
+    removed = {n: {w[1] > 0 for w in wide if w[0] == n} for n, _ in shared}
+    assert all(n > 0 for size, n in shared if removed[size] == {True})
+    removed = {n: {w[1] > 0 for w in narrow if w[0] == n} for n, _ in shared}
+    assert all(n == 0 for size, n in shared if removed[size] == {False})
+
+
+def test_repeats_in_a_text_above_one_slice(spark):
+    passage, rng = prose(random.Random(3), 60)[:420], np.random.default_rng(3)
+    long = bytes(rng.integers(97, 123, repeat_index.CHUNK + 5000, dtype=np.uint8)).decode()
+    short = passage[:300]
+    texts = [long + passage, "A" + passage + "B", "C" + short + "D", "E" * 30, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in repeat_index.remove_repeats(docs).collect()}
+    assert [rows[i]["n_removed"] for i in range(5)] == [420, 420, 0, 0, 0]
+    assert bytes(rows[0]["kept_bytes"]).decode() == long and bytes(rows[1]["kept_bytes"]) == b"AB"
+    assert [rows[i]["n_shared"] > 0 for i in range(5)] == [True, True, True, False, False]
 
 
 def test_repeats_of_an_empty_table(spark):
