@@ -1,9 +1,11 @@
 """URL verdicts: explicit host and path rules first, mined association rules for the rest.
 
 FP-growth mines token combinations of labelled URLs together with their label; rules with
-the label on the right side are kept above a confidence and a support. Each rule is posted
-under its rarest token; URLs with the same tokens are matched once. DataFrame and Spark ML
-operations only.
+the label on the right side are kept above a confidence and a support. Tokens that occur in
+the same labelled URLs are one item, as any of their combinations has the same counts: long
+shared paths would otherwise give a rule for each subset of their segments. Each rule is
+posted under its rarest item; URLs with the same tokens are matched once. DataFrame and Spark
+ML operations only.
 """
 
 from __future__ import annotations
@@ -57,9 +59,35 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     return F.array_sort(F.array_distinct(found))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules (tokens, verdict, confidence, support) from `_tokens` and `_label` (block or allow)."""
-    baskets = labelled.select(F.concat("_tokens", F.array(F.concat(F.lit(_LABEL), "_label"))).alias("items"))
+def token_classes(labelled: DataFrame) -> DataFrame:
+    """`_token` and `_item`, the least of the tokens that occur in the same `_tokens` sets.
+
+    The sets are compared by their number and by two hashes; a class is no larger than a URL.
+    """
+    held = labelled.select("_tokens").distinct().select(
+        F.explode("_tokens").alias("_token"), F.xxhash64("_tokens").alias("_x"), F.xxhash64(F.lit("url"), "_tokens").alias("_y")
+    )
+    holders = held.groupBy("_token").agg(F.count("*").alias("_n"), F.bit_xor("_x").alias("_x"), F.bit_xor("_y").alias("_y"))
+    classes = holders.groupBy("_n", "_x", "_y").agg(F.min("_token").alias("_item"), F.collect_list("_token").alias("_all"))
+    return classes.select(F.explode("_all").alias("_token"), "_item")
+
+
+def _with_items(token_sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Distinct `_tokens` with `_parts`, their known tokens as pairs (item, token)."""
+    sets = token_sets.select("_tokens").distinct()
+    pairs = sets.select("_tokens", F.explode("_tokens").alias("_token")).join(classes, "_token")
+    return pairs.groupBy("_tokens").agg(F.collect_list(F.struct("_item", "_token")).alias("_parts"))
+
+
+def mine(
+    labelled: DataFrame, classes: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE
+) -> DataFrame:
+    """Rules (items, verdict, confidence, support) from `_tokens` and `_label` (block or allow)."""
+    known = written(_with_items(labelled, classes).withColumnRenamed("_tokens", "_of"), "url-items")
+    found = F.array_distinct(F.transform(F.coalesce("_parts", F.array()), lambda p: p["_item"]))
+    baskets = labelled.join(known, F.col("_tokens") == F.col("_of"), "left").select(
+        F.concat(found, F.array(F.concat(F.lit(_LABEL), "_label"))).alias("items")
+    )
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     return model.associationRules.where(
         F.element_at("consequent", 1).startswith(_LABEL)
@@ -71,22 +99,25 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     )
 
 
-def match(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
+def match(token_sets: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
     """For each distinct `_tokens` the best matching rule's verdict: `_tokens`, `_mined`.
 
-    Best is by confidence, support, number of tokens, then the tokens themselves.
+    A set has an item if it has any of its tokens. Best is by confidence, support, number of
+    the set's tokens in the rule, then these tokens themselves.
     """
-    sets = token_sets.select("_tokens").distinct()
-    used = sets.select(F.explode("_tokens").alias("_token")).groupBy("_token").agg(F.count("*").alias("_n"))
-    needed = rules.select("*", F.explode("_need").alias("_token")).join(used, "_token")
-    posted = needed.groupBy("_need", "_verdict", "_confidence", "_support").agg(
-        F.min(F.struct("_n", "_token")).alias("_rarest")
-    ).select("_need", "_verdict", "_confidence", "_support", F.col("_rarest._token").alias("_token"))
-    candidates = sets.select("_tokens", F.explode("_tokens").alias("_token")).join(posted, "_token")
-    fit = candidates.where(F.size(F.array_except("_need", "_tokens")) == 0)
-    best = F.max_by(
-        "_verdict", F.struct("_confidence", "_support", F.size("_need"), "_need", "_verdict")
+    wanted = rules.select(F.explode("_need").alias("_item")).distinct()
+    sets = written(_with_items(token_sets, classes.join(wanted, "_item")), "url-sets").withColumn(
+        "_items", F.array_distinct(F.transform("_parts", lambda p: p["_item"]))
     )
+    used = sets.select(F.explode("_items").alias("_item")).groupBy("_item").agg(F.count("*").alias("_n"))
+    needed = rules.select("*", F.explode("_need").alias("_item")).join(used, "_item")
+    posted = needed.groupBy("_need", "_verdict", "_confidence", "_support").agg(
+        F.min(F.struct("_n", "_item")).alias("_rarest")
+    ).select("_need", "_verdict", "_confidence", "_support", F.col("_rarest._item").alias("_item"))
+    candidates = sets.select("*", F.explode("_items").alias("_item")).join(posted, "_item")
+    fit = candidates.where(F.size(F.array_except("_need", "_items")) == 0)
+    fit = fit.withColumn("_has", F.array_sort(F.expr("transform(filter(_parts, p -> array_contains(_need, p._item)), p -> p._token)")))
+    best = F.max_by("_verdict", F.struct("_confidence", "_support", F.size("_has"), "_has", "_verdict"))
     return fit.groupBy("_tokens").agg(best.alias("_mined"))
 
 
@@ -120,7 +151,9 @@ def judge(
     if learned.isEmpty():
         verdicts = parts.withColumn("_mined", F.lit(None).cast("string"))
     else:
-        found = match(parts.where(F.col("_rule").isNull()), written(mine(learned, min_support, min_confidence), "url-rules"))
+        classes = written(token_classes(learned), "url-classes")
+        mined = written(mine(learned, classes, min_support, min_confidence), "url-rules")
+        found = match(parts.where(F.col("_rule").isNull()), mined, classes)
         found = found.withColumnRenamed("_tokens", "_key")
         verdicts = parts.join(found, same(F.col("_tokens"), F.col("_key")), "left")
     return verdicts.withColumns(
