@@ -85,7 +85,7 @@ def test_url_rules_of_long_shared_paths(spark):
     """Thirty segments that always occur together are mined as one; any of them still counts."""
     shared = "/".join(f"seg{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(30))
     urls = [f"http://shop.net/{shared}/{i}" for i in range(60)] + [f"http://shop.net/plain/{i}" for i in range(60)]
-    urls += ["http://other.net/segaa/sega", "http://other.net/segba", "http://other.net/plain", "http://other.net/new"]
+    urls += ["http://other.net/segaa/sega", "http://other.net/segba", "http://other.net/plain", "http://unseen.test/new"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     labels = spark.createDataFrame([(i, i < 60) for i in range(0, 120, 2)], "page_id long, block boolean")
     got = {r["page_id"]: r["verdict"] for r in url_filters.judge(pages, labels).collect()}
