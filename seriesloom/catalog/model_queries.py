@@ -144,6 +144,55 @@ def permutation_importance(v):
 # the learner is checked by value.
 
 
+@query(
+    "train_rows",
+    with_ctes(
+        """SELECT m.model, count(*) AS n_rows, round(sum(t7), 2) AS label_sum, TRUE AS beats_mean
+           FROM base CROSS JOIN (SELECT unnest(['boosted', 'forest']) AS model) m
+           WHERE t7 IS NOT NULL GROUP BY m.model"""
+    ),
+)
+def train_rows(v):
+    """Rows and labels both learners are fitted on; their error is below the labels' deviation."""
+    df = training_table(v)
+    rows = training.labelled(df, TARGET)
+    for kind in (BOOSTED, FOREST):
+        model = training.fit_model(df, _inputs(df), TARGET, kind, QUICK[kind])
+        rows = training.predict(rows, model, kind, rows.columns)
+    long = rows.unpivot(["label"], [f"pred_{BOOSTED}", f"pred_{FOREST}"], "model", "y_pred").withColumn(
+        "model", F.substring_index("model", "pred_", -1)
+    )
+    error = F.sqrt(F.avg((F.col("y_pred") - F.col("label")) ** 2))
+    return rounded(
+        long.groupBy("model").agg(
+            F.count("y_pred").alias("n_rows"), F.sum("label").alias("label_sum"),
+            (error < F.stddev_pop("label")).alias("beats_mean"),
+        ),
+        label_sum=2,
+    )
+
+
+@query(
+    "feature_importance_rows",
+    """SELECT m.model, TRUE AS one_each, TRUE AS shares_of_one
+       FROM (SELECT unnest(['boosted', 'forest']) AS model) m""",
+)
+def feature_importance_rows(v):
+    """Importances of both learners: one for each input, none negative, one in sum."""
+    df = training_table(v)
+    inputs = _inputs(df)
+    parts = [
+        training.feature_importance(v.spark, training.fit_model(df, inputs, TARGET, kind, QUICK[kind]), n=len(inputs) + 1)
+        .agg(
+            ((F.count_distinct("feature") == len(inputs)) & (F.count("*") == len(inputs))).alias("one_each"),
+            ((F.min("importance") >= 0) & (F.abs(F.sum("importance") - 1) < 1e-9)).alias("shares_of_one"),
+        )
+        .select(F.lit(kind).alias("model"), "one_each", "shares_of_one")
+        for kind in (BOOSTED, FOREST)
+    ]
+    return parts[0].union(parts[1])
+
+
 @query(
     "walk_forward_oof_rows",
     with_ctes(
