@@ -114,6 +114,68 @@ def test_suffix_automaton_against_substring_search():
             assert automaton.phrases(word) == longest_phrases(word, text)
 
 
+def parsed_by_words(model, text):
+    """Language and score of a text by the automata alone, word after word."""
+    found = [w for w in (text or "").lower().split() if any(c.isalpha() for c in w)]
+    names = sorted(model)
+    if not names or not found:
+        return "und", 0.0
+    of = {n: language_id.SuffixAutomaton(model[n]) for n in names}
+    total = sorted((sum(of[n].phrases(f" {w} ") for w in found), n) for n in names)
+    return total[0][1], 1 - total[0][0] / total[1][0] if len(names) > 1 else 1.0
+
+
+def odd_texts():
+    """Unknown letters, letters beyond 16 bits, capitals that grow, rare white space, words without a letter, words
+    around the length that may be parsed alone, and repeated texts."""
+    rng = np.random.default_rng(5)
+    letters = list("abcdeñß12!. \t\n") + ["😀", "中", "𐐀", "İ", "Σ", "\x1c", "\x85", "\xa0", "$"]
+    texts = ["".join(rng.choice(letters, n)) for n in rng.integers(0, 60, 150)]
+    for n in (language_id.LONG - 1, language_id.LONG, language_id.LONG + 1, 5 * language_id.LONG):
+        texts += ["".join(rng.choice(list("abcd"), n)), "!" * n, "a b " + "中" * n]
+    return texts + texts[:20] + ["", " \n", "12 !"]
+
+
+ODD_MODEL = {
+    "a": [" abc ", " bca ", " 中a ", " ñ. "],
+    "b": [" dd ", " eabcd ", " ß1 ", " 𐐀 "],
+    "c": [" abc ", " i̇σ "],
+    "d": [],
+}
+
+
+def test_words_parsed_together_count_as_parsed_alone(monkeypatch):
+    monkeypatch.setattr(language_id, "TOGETHER", 3000)
+    monkeypatch.setattr(language_id, "FEW", 2)
+    monkeypatch.setattr(language_id, "REMEMBER", 100)
+    for names in ("", "a", "ab", "abcd"):
+        model = {n: ODD_MODEL[n] for n in names}
+        parser = language_id.Parser(language_id.Languages(model))
+        texts = [None, *odd_texts()]
+        for at in range(0, len(texts), 40):
+            found = zip(*parser.judge(texts[at : at + 40]), strict=True)
+            assert list(found) == [parsed_by_words(model, t) for t in texts[at : at + 40]]
+
+
+def test_words_are_parsed_in_arrays_and_automata_built_once(monkeypatch):
+    alone, built = [], []
+    phrases, build = language_id.SuffixAutomaton.phrases, language_id.SuffixAutomaton.__init__
+    monkeypatch.setattr(language_id.SuffixAutomaton, "phrases", lambda a, w: alone.append(w) or phrases(a, w))
+    monkeypatch.setattr(language_id.SuffixAutomaton, "__init__", lambda a, w: built.append(1) or build(a, w))
+    languages = language_id.Languages({n: ODD_MODEL[n] for n in "ab"})
+    for _ in range(3):
+        parser = language_id.Parser(languages)
+        parser.totals([f"abc{i} eabcd" for i in range(500)])
+    assert not alone and len(built) == 2
+
+
+def test_languages_of_a_table_against_plain_parsing(spark):
+    model = {"en": [" stone ", " cloud ", " under ", " the "], "de": [" alpha ", " gamma ", " der "], "xx": [" unï "]}
+    rows = [(k, t, None, None, 0) for k, t in enumerate([r[1] for r in corpus()] + odd_texts())]
+    found = language_id.predict(frame(spark, rows).select("doc_id", "text"), model).collect()
+    assert sorted(found) == [(k, *parsed_by_words(model, t)) for k, t, *_ in rows]
+
+
 def test_language_held_out_accuracy_and_odd_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.learn(docs.where("doc_id % 3 <> 1"))
