@@ -10,7 +10,11 @@ lanes, which begin where both tokenisers end a token, so the number of steps is
 How many documents hold a linked pair of ids is counted over the whole corpus. A slice of
 documents states its distinct pairs once, with the number of its documents that hold them;
 these rows, not those of the documents, are summed and meet the sums again. A pair is at most
-once in a slice, so no pair is a hot key, and what a task holds is bounded by a slice.
+once in a slice, so no pair is a hot key.
+
+Memory is bounded by a slice: a worker makes token lists, links and group texts for a part of
+its slice at a time, and the pairs of the documents travel packed and meet the sums of their
+slice in a group of their own, so that no batch holds many slices.
 """
 
 from __future__ import annotations
@@ -36,8 +40,8 @@ from seriesloom.llm.slices import bounded
 SLICE = 2 << 20
 #: Tokens of A in a lane, and token ends tried for its end.
 LANE, TRIED = 512, 32
-#: Links that are unfolded at once.
-UNFOLD = 1 << 21
+#: Bytes of text that are tokenised at once, links that are unfolded and tokens that are written.
+TOKENISED, UNFOLD, WRITTEN = 1 << 18, 1 << 18, 1 << 17
 
 
 class Pair:
@@ -73,6 +77,19 @@ class Pair:
             all_b.append(b if a else [])
         return all_a, all_b
 
+    def flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of A end to end and where each text begins, and those of B. Lists of numbers
+        take many times the room, so they are made for some of the texts at a time."""
+        ends = np.cumsum([len((t or "").encode()) for t in texts])
+        of_a, of_b, at = [_flat([])], [_flat([])], 0
+        while at < len(texts):
+            done = int(ends[at - 1]) if at else 0
+            to = max(int(np.searchsorted(ends, done + TOKENISED, side="right")), at + 1)
+            for found, lists in zip((of_a, of_b), self.tokens(texts[at:to]), strict=True):
+                found.append(_flat(lists))
+            at = to
+        return *_joined(of_a), *_joined(of_b)
+
 
 @cache
 def load(path_a: str, path_b: str) -> Pair:
@@ -80,8 +97,15 @@ def load(path_a: str, path_b: str) -> Pair:
 
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    return np.fromiter(chain.from_iterable(lists), np.int64, int(at[-1])), at
+    """The numbers of all lists, and how many each list has."""
+    sizes = np.array(list(map(len, lists)), np.int64)
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all parts, and where each list begins."""
+    sizes = np.concatenate([n for _, n in parts])
+    return np.concatenate([x for x, _ in parts]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
 def lanes(ends_a: np.ndarray, at_a: np.ndarray, ends_b: np.ndarray, at_b: np.ndarray, lane: int = LANE) -> np.ndarray:
@@ -127,6 +151,7 @@ def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, lane: np.ndarray) -> np.nda
     if not groups:
         return np.zeros((0, 4), np.int64)
     found = np.concatenate(groups, axis=1)
+    groups.clear()
     return found[:, np.argsort(found[0])].T
 
 
@@ -148,7 +173,7 @@ def unfolded(groups: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple
         n = per_a[at:to]
         token = np.repeat(np.arange(at, to), n)
         inner = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
-        yield first_a + token, a[first_a + token] << 32 | b[first_b[token] + inner]
+        yield first_a + token, a[first_a + token].astype(np.int64) << 32 | b[first_b[token] + inner]
         at = to
 
 
@@ -159,11 +184,11 @@ def _digits(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(text), np.uint8), np.concatenate([[0], np.cumsum(list(map(len, text)))])
 
 
-def written_groups(groups: np.ndarray, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> list[bytes]:
-    """The groups of every document as text: `a1,a2|b1;a3|b2,b3`."""
+def _written(groups: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Groups that follow each other as text, `a1,a2|b1;a3|b2,b3;`, and the end of each token in it."""
+    a, b = a[groups[0, 0] : groups[-1, 1]], b[groups[0, 2] : groups[-1, 3]]
+    groups = groups - np.repeat(groups[0, ::2], 2)
     n = len(a) + len(b)
-    if not n:
-        return [b""] * (len(at_a) - 1)
     # Tokens in the order of the text: those of A in a group, then those of B.
     place_a = np.arange(len(a)) + np.repeat(groups[:, 2], groups[:, 1] - groups[:, 0])
     place_b = np.arange(len(b)) + np.repeat(groups[:, 1], groups[:, 3] - groups[:, 2])
@@ -179,8 +204,23 @@ def written_groups(groups: np.ndarray, a: np.ndarray, b: np.ndarray, at_a: np.nd
     source[ends - 1] = 0
     out = digits[source]
     out[ends - 1] = mark
-    last = np.concatenate([[0], ends])[at_a + at_b]
-    body = out.tobytes()
+    return out.tobytes(), ends
+
+
+def written_groups(groups: np.ndarray, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> list[bytes]:
+    """The groups of every document as text: `a1,a2|b1;a3|b2,b3`."""
+    # Tokens of both before each document, and up to the end of each group.
+    first, upto = at_a + at_b, groups[:, 1] + groups[:, 3]
+    last = np.zeros(len(first), np.int64)
+    parts, size, done, at = [], 0, 0, 0
+    while at < len(groups):
+        to = max(int(np.searchsorted(upto, done + WRITTEN, side="right")), at + 1)
+        text, ends = _written(groups[at:to], a, b)
+        here = (first > done) & (first <= upto[to - 1])
+        last[here] = size + ends[first[here] - done - 1]
+        parts.append(text)
+        size, done, at = size + len(text), int(upto[to - 1]), to
+    body = b"".join(parts)
     return [body[x : max(y - 1, x)] for x, y in zip(last[:-1].tolist(), last[1:].tolist(), strict=True)]
 
 
@@ -188,9 +228,7 @@ class Aligned:
     """The alignment of a slice of texts."""
 
     def __init__(self, pair: Pair, texts: list[str | None]):
-        of_a, of_b = pair.tokens(texts)
-        self.a, self.at_a = _flat(of_a)
-        self.b, self.at_b = _flat(of_b)
+        self.a, self.at_a, self.b, self.at_b = pair.flat(texts)
         ends_a, ends_b = np.cumsum(pair.sizes_a[self.a]), np.cumsum(pair.sizes_b[self.b])
         self.groups = lockstep(ends_a, ends_b, lanes(ends_a, self.at_a, ends_b, self.at_b))
         #: First group of each document, and the end of the last.
@@ -260,13 +298,22 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text", key: st
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers from 0 on, each in as few bytes as the largest of them needs."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) // n}" if n else np.uint8)
+
+
 def _slices(docs: DataFrame, path_a: str, path_b: str, text: str, key: str) -> DataFrame:
     """One row for each slice of documents: what its documents have, its distinct pairs with
     the number of documents that hold them, and the distinct pairs of every document."""
     kind = docs.schema[key].dataType.simpleString()
     schema = (
-        f"slice string, docs array<struct<`{key}`: {kind}, n_a: long, n_b: long, n_groups: long, n_links: long, "
-        "groups_sha256: string, n_held: int>>, pairs array<long>, holders array<int>, held array<int>, times array<int>"
+        f"slice long, docs array<struct<`{key}`: {kind}, n_a: long, n_b: long, n_groups: long, n_links: long, "
+        "groups_sha256: string, n_held: int>>, pairs array<long>, holders array<int>, held binary, times binary"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,12 +340,12 @@ def _slices(docs: DataFrame, path_a: str, path_b: str, text: str, key: str) -> D
 
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([f"{TaskContext.get().partitionId()}-{number}"]),
+                        pa.array([TaskContext.get().partitionId() << 32 | number], pa.int64()),
                         single(pa.StructArray.from_arrays(columns, names=names)),
                         single(pa.array(pairs, pa.int64())),
                         single(pa.array(np.bincount(held, minlength=len(pairs)), pa.int32())),
-                        single(pa.array(held, pa.int32())),
-                        single(pa.array(times, pa.int32())),
+                        pa.array([packed(held)], pa.binary()),
+                        pa.array([packed(times)], pa.binary()),
                     ],
                     names=["slice", "docs", "pairs", "holders", "held", "times"],
                 )
@@ -330,39 +377,32 @@ def linked(docs: DataFrame, path_a: str, path_b: str, text: str = "text", key: s
     slices = written(_slices(docs, path_a, path_b, text, key), "align-slices")
     counts = written(pair_counts(slices), "align-pairs")
     posted = slices.select("slice", F.posexplode("pairs").alias("at", "pair"))
-    told = posted.join(counts, "pair").groupBy(F.col("slice").alias("_slice")).agg(
-        F.collect_list(F.struct("at", "n", "best")).alias("told")
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                documents, held, times, told = (batch.column(k)[row].values for k in range(4))
-                n_docs = len(documents)
-                n_held = documents.field(6).to_numpy()
-                n, best = np.zeros(0, np.int64), np.zeros(0, bool)
-                if told is not None:
-                    place = told.field(0).to_numpy()
-                    n, best = np.empty(len(place), np.int64), np.empty(len(place), bool)
-                    n[place] = told.field(1).to_numpy()
-                    best[place] = told.field(2).to_numpy(zero_copy_only=False)
-                held, times = held.to_numpy(), times.to_numpy()
-                total = np.concatenate([[0], np.cumsum(times * n[held])])
-                good = np.concatenate([[0], np.cumsum(times * best[held])])
-                at = np.concatenate([[0], np.cumsum(n_held)])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(documents.field(k) for k in range(5)),
-                        pa.array(good[at[1:]] - good[at[:-1]], pa.int64()),
-                        pa.array(total[at[1:]] - total[at[:-1]], pa.int64()),
-                        documents.field(5),
-                    ],
-                    names=[key, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
-                )
+    told = posted.join(counts, "pair").select(F.col("slice").alias("_slice"), "at", "n", "best")
+
+    def run(whole: pa.Table, told: pa.Table) -> pa.Table:
+        """The documents of one slice, with the sums of its pairs."""
+        documents = whole.column("docs")[0].values
+        n_held = documents.field(6).to_numpy()
+        n, best = np.zeros(told.num_rows, np.int64), np.zeros(told.num_rows, bool)
+        place = told.column("at").to_numpy()
+        n[place], best[place] = told.column("n").to_numpy(), told.column("best").to_numpy()
+        held, times = (unpacked(whole.column(c)[0].as_py(), int(n_held.sum())) for c in ("held", "times"))
+        total = np.concatenate([[0], np.cumsum(times * n[held])])
+        good = np.concatenate([[0], np.cumsum(times * best[held], dtype=np.int64)])
+        at = np.concatenate([[0], np.cumsum(n_held)])
+        return pa.Table.from_arrays(
+            [
+                *(documents.field(k) for k in range(5)),
+                pa.array(good[at[1:]] - good[at[:-1]], pa.int64()),
+                pa.array(total[at[1:]] - total[at[:-1]], pa.int64()),
+                documents.field(5),
+            ],
+            names=[key, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
+        )
 
     schema = (
         f"`{key}` {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, "
         "groups_sha256 string"
     )
-    both = slices.join(told, F.col("slice") == F.col("_slice"), "left")
-    return both.select("docs", "held", "times", "told").mapInArrow(run, schema)
+    whole = slices.select("slice", "docs", "held", "times")
+    return whole.groupBy("slice").cogroup(told.groupBy("_slice")).applyInArrow(run, schema)

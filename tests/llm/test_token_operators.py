@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from functools import cache
 
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from seriesloom.llm import byte_tokens, queries, rank_bpe, square_runs, token_alignment
-from tests.llm.helpers import DOCS, clashing, corpus, frame
+from tests.llm.helpers import DOCS, clashing, corpus, frame, prose
 
 A, B, W = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"))
 ODD = [
@@ -199,6 +200,53 @@ def test_lanes_and_small_unfoldings_change_nothing(libraries, monkeypatch):
     assert as_set(again) == as_set(held)
 
 
+def test_parts_of_a_slice_change_nothing(libraries, monkeypatch):
+    pair, texts = libraries[2], [*ODD, *(r[1] for r in corpus()[:20]), None]
+    whole = token_alignment.Aligned(pair, texts)
+    monkeypatch.setattr(token_alignment, "TOKENISED", 40)
+    monkeypatch.setattr(token_alignment, "WRITTEN", 7)
+    parts = token_alignment.Aligned(pair, texts)
+    for name in ("a", "at_a", "b", "at_b", "groups", "at_group"):
+        assert (getattr(parts, name) == getattr(whole, name)).all()
+    want = [spelled(brute_groups(t, *libraries)).encode() for t in texts]
+    assert whole.texts() == want
+    assert parts.texts() == want
+
+
+def test_memory_of_a_slice(libraries):
+    pair, rng = libraries[2], random.Random(3)
+    texts = [prose(rng, 300) for _ in range(500)]
+    token_alignment.Aligned(pair, texts[:1]).texts()
+    tracemalloc.start()
+    try:
+        found = token_alignment.Aligned(pair, texts)
+        found.held()
+        found.texts()
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 50 * sum(map(len, texts))
+
+
+@pytest.mark.parametrize(("most", "width"), [(0, 1), (255, 1), (256, 2), (65_535, 2), (65_536, 4)])
+def test_packed_numbers(most, width):
+    values = np.array([0, most, 1 if most else 0])
+    data = token_alignment.packed(values)
+    assert len(data) == 3 * width
+    assert token_alignment.unpacked(data, 3).tolist() == values.tolist()
+    assert token_alignment.unpacked(token_alignment.packed(values[:0]), 0).tolist() == []
+
+
+def test_the_sums_of_a_slice_come_alone(spark):
+    texts = [(i % 5, "Zwölf 12345 straße" if i % 3 else None) for i in range(24)]
+    docs = spark.createDataFrame(texts, "doc_id int, text string").repartition(8)
+    found = token_alignment.linked(docs, A, B)
+    plan = found._jdf.queryExecution().toString()
+    assert "CoGroups" in plan
+    assert "collect_list" not in plan
+    assert order(map(tuple, found.collect())) == order(map(tuple, token_alignment.linked(docs.coalesce(1), A, B).collect()))
+
+
 def test_align_gives_ids_cuts_and_groups(spark, libraries):
     texts = {"x": "Zwölf 12345 straße", "y": None, None: "a"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
